@@ -22,8 +22,28 @@ def to_rna(seq: Column) -> Column:
     return F.translate(F.upper(seq), "T", "U")
 
 
+def substring_count(seq: Column, piece: str) -> Column:
+    """Non-overlapping occurrences, by the length a byte-level replace takes away."""
+    return ((F.length(seq) - F.length(F.replace(seq, F.lit(piece), F.lit("")))) / len(piece)).cast(
+        "long"
+    )
+
+
 def char_count(seq: Column, chars: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, chars, ""))
+    return sum((substring_count(seq, c) for c in chars[1:]), substring_count(seq, chars[0]))
+
+
+def pair_count(seq: Column, pair: str) -> Column:
+    """Overlapping occurrences of two letters.
+
+    Equal letters overlap, so each gets a mark in front; a letter that meets a mark has an equal
+    one behind it.
+    """
+    if pair[0] != pair[1]:
+        return substring_count(seq, pair)
+    mark = "\u0001"
+    marked = F.replace(seq, F.lit(pair[0]), F.lit(mark + pair[0]))
+    return substring_count(marked, pair[0] + mark)
 
 
 def composition(seq: Column) -> dict[str, Column]:
@@ -41,7 +61,7 @@ def dinucleotides(seq: Column) -> dict[str, Column]:
     pairs = F.length(seq) - 1
     return {
         f"di_{a}{b}": F.when(
-            pairs > 0, F.regexp_count(seq, F.lit(f"{a}(?={b})")) / pairs
+            pairs > 0, pair_count(seq, a + b) / pairs
         ).otherwise(F.lit(0.0))
         for a, b in product(BASES, repeat=2)
     }
@@ -65,16 +85,19 @@ def tail_length(seq: Column, len3: Column) -> Column:
     return F.when(n == 0, F.lit(0)).when(len3 > 0, len3).otherwise(proxy).cast("long")
 
 
-def tail_au(seq: Column, len3: Column, digits: int = 4) -> dict[str, Column]:
-    """AU share of the 3' tail; the stand-in length replaces a missing one."""
-    k = tail_length(seq, len3)
-    tail = F.right(seq, k)
-    au = F.coalesce(ratio(char_count(tail, "AU"), F.length(tail)), F.lit(0.0))
-    return {
-        "utr3_au_content": F.bround(au, digits),
-        "utr3_length": k,
-        "utr3_estimated": ~F.coalesce((len3 > 0) & (F.length(seq) > 0), F.lit(False)),
-    }
+def add_tail(df: DataFrame, seq: str, len3: Column, digits: int = 4) -> DataFrame:
+    """AU share of the 3' tail; the stand-in length replaces a missing one.
+
+    Added in steps, so the tail is cut once and not again in every expression that reads it.
+    """
+    given = F.coalesce((len3 > 0) & (F.length(seq) > 0), F.lit(False))
+    out = df.withColumns(
+        {"utr3_length": tail_length(F.col(seq), len3), "utr3_estimated": ~given}
+    ).withColumn("_tail", F.right(F.col(seq), F.col("utr3_length")))
+    au = ratio(char_count(F.col("_tail"), "AU"), F.length("_tail"))
+    return out.withColumn(
+        "utr3_au_content", F.bround(F.coalesce(au, F.lit(0.0)), digits)
+    ).drop("_tail")
 
 
 def estimate_regions(n: Column, aa_len: Column) -> dict[str, Column]:
@@ -199,19 +222,12 @@ def translate_cds(seq: Column) -> Column:
     )
 
 
-def sequence_features(seq: Column, aa_len: Column, digits: int = 6) -> dict[str, Column]:
-    """Every feature that one transcript alone determines."""
-    n = F.length(seq)
-    regions = estimate_regions(n, aa_len)
-    tail = tail_au(seq, regions.pop("utr3_rest"), digits)
-    tail.pop("utr3_estimated")
-    return {
-        **composition(seq),
-        **dinucleotides(seq),
-        **regions,
-        **tail,
-        **motif_counts(seq),
-    }
+def sequence_features(df: DataFrame, seq: str, aa_len: Column, digits: int = 6) -> DataFrame:
+    """Add every feature that one transcript alone determines."""
+    col = F.col(seq)
+    out = df.withColumns({**composition(col), **dinucleotides(col), **motif_counts(col)})
+    out = out.withColumns(estimate_regions(F.col("mrna_length"), aa_len))
+    return add_tail(out, seq, F.col("utr3_rest"), digits).drop("utr3_rest", "utr3_estimated")
 
 
 def compute_features(
@@ -221,10 +237,8 @@ def compute_features(
     from condensq.schemas import PROTEIN_FEATURES
 
     rna = to_rna(F.col(seq))
-    out = df.withColumn("_seq", rna)
-    out = out.withColumns(
-        sequence_features(F.col("_seq"), F.coalesce(F.length(protein), F.lit(0)))
-    ).drop("_seq")
+    aa_len = F.coalesce(F.length(protein), F.lit(0))
+    out = sequence_features(df.withColumn("_seq", rna), "_seq", aa_len).drop("_seq")
     out = out.withColumns(
         {"long_3utr": (F.col("utr3_length") > 1000).cast("int"), "ptc_proxy": F.lit(0)}
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensq.operators.ranking import range_bucket, running_totals
+from condensq.operators.ranking import running_totals, with_range_bucket
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -72,10 +72,11 @@ def cumulative_counts(
     per = df.groupBy(*by, prob).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    falling = -range_bucket(per, F.col(prob))
+    placed = with_range_bucket(per, F.col(prob))
     return running_totals(
-        per, {"tp": F.col("pos"), "fp": F.col("neg")}, [F.col(prob).desc()], falling, by
-    )
+        placed, {"tp": F.col("pos"), "fp": F.col("neg")}, [F.col(prob).desc()],
+        -F.col("_range"), by,
+    ).drop("_range")
 
 
 def _totals(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:

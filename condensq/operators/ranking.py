@@ -19,29 +19,39 @@ def _cut_count(df: DataFrame) -> int:
     return max(2, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_points(df: DataFrame, value: Column, buckets: int) -> Column:
-    """Approximate quantiles of `value` as one array, read once and used as a literal."""
-    steps = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, steps, 10_000).alias("cuts")).scalar()
+def _with_cuts(df: DataFrame, value: Column, buckets: int | None) -> DataFrame:
+    """Approximate quantiles of `value` as one array column, a scalar subquery read once."""
+    n = buckets or _cut_count(df)
+    steps = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(value, steps, 10_000).alias("cuts")).scalar()
+    return df.withColumn("_cuts", cuts)
 
 
-def range_bucket(df: DataFrame, value: Column, buckets: int | None = None) -> Column:
-    """Bucket number rising with `value`."""
-    cuts = cut_points(df, value, buckets or _cut_count(df))
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+def _cuts_below(value: Column) -> Column:
+    return F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))
 
 
-def tied_bucket(df: DataFrame, value: Column, key: Column, buckets: int | None = None) -> Column:
-    """Bucket rising with (value, md5(key)).
+def with_range_bucket(
+    df: DataFrame, value: Column, buckets: int | None = None, name: str = "_range"
+) -> DataFrame:
+    """Add a bucket number rising with `value`."""
+    return _with_cuts(df, value, buckets).withColumn(name, _cuts_below(value)).drop("_cuts")
+
+
+def with_tied_bucket(
+    df: DataFrame, value: Column, key: Column, buckets: int | None = None, name: str = "_range"
+) -> DataFrame:
+    """Add a bucket rising with (value, md5(key)).
 
     A value that holds many rows is itself a cut point; its rows get buckets of their own, split
     by the digest that also breaks the ties, so no value can fill a task.
     """
-    cuts = cut_points(df, value, buckets or _cut_count(df))
-    below = F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
-    is_cut = F.coalesce(F.array_contains(cuts, value), F.lit(False))
+    is_cut = F.coalesce(F.array_contains(F.col("_cuts"), value), F.lit(False))
     digest = F.when(is_cut, F.substring(F.md5(key.cast("string")), 1, 2)).otherwise(F.lit(""))
-    return F.struct(below.alias("b"), is_cut.cast("int").alias("t"), digest.alias("d"))
+    bucket = F.struct(
+        _cuts_below(value).alias("b"), is_cut.cast("int").alias("t"), digest.alias("d")
+    )
+    return _with_cuts(df, value, buckets).withColumn(name, bucket).drop("_cuts")
 
 
 def digest_bucket(digest: Column, digits: int = 3) -> Column:
@@ -61,25 +71,28 @@ def running_totals(
     `bucket` must rise with `order`; `order` must be free of ties.
     """
     by = list(by)
-    work = df.withColumns({"_bucket": bucket, **{f"_v_{k}": c for k, c in totals.items()}})
-    sums = work.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in totals])
+    # One struct key: its hash serves window, totals and join alike, and NULL keys stay a group.
+    cell = F.struct(*by, bucket.alias("_bucket"))
+    work = df.withColumns({"_cell": cell, **{f"_v_{k}": c for k, c in totals.items()}})
+    sums = work.groupBy("_cell").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in totals])
     # One row per bucket of a group, so this window stays small whatever the table size.
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    before = (
+        Window.partitionBy(*[F.col(f"_cell.{c}") for c in by])
+        .orderBy("_cell._bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     zero = F.lit(0)
     offsets = sums.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_bucket"]],
-        *[F.coalesce(F.sum(f"_s_{k}").over(before), zero).alias(f"_o_{k}") for k in totals],
+        "_cell", *[F.coalesce(F.sum(f"_s_{k}").over(before), zero).alias(f"_o_{k}") for k in totals]
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_bucket"]]
     local = (
-        Window.partitionBy(*by, "_bucket")
+        Window.partitionBy("_cell")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = work.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(local) for k in totals})
-    out = out.join(offsets, same, "left")
+    # Without groups there are only as many offsets as buckets.
+    out = out.join(offsets if by else F.broadcast(offsets), "_cell", "left")
     return out.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_l_{k}") + F.coalesce(F.col(f"_o_{k}"), zero)).alias(k) for k in totals],
@@ -104,13 +117,9 @@ def ranked_by_value(
     """Global position by value, ties by md5 of the key."""
     signed = -F.col(value) if descending else F.col(value)
     work = df.withColumn("_signed", signed.cast("double"))
-    out = row_numbers(
-        work,
-        [F.col("_signed"), F.md5(F.col(key).cast("string")), F.col(key)],
-        tied_bucket(work, F.col("_signed"), F.col(key)),
-        name=name,
-    )
-    return out.drop("_signed")
+    work = with_tied_bucket(work, F.col("_signed"), F.col(key))
+    order = [F.col("_signed"), F.md5(F.col(key).cast("string")), F.col(key)]
+    return row_numbers(work, order, F.col("_range"), name=name).drop("_signed", "_range")
 
 
 def ntile_of(position: Column, total: Column, tiles: int) -> Column:
@@ -127,10 +136,11 @@ def quantile_tile(
 ) -> DataFrame:
     """NTILE(n) along `col`; `mode='approx'` needs no shuffle but gives tiles of near-equal size."""
     if mode == "approx":
-        return df.withColumn(name, range_bucket(df, F.col(col), n) + 1)
+        return with_range_bucket(df, F.col(col), n, name).withColumn(name, F.col(name) + 1)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = ranked_by_value(df, col, key, name="_pos")
-    return ranked.withColumn(name, ntile_of(F.col("_pos"), total, n)).drop("_pos")
+    ranked = ranked_by_value(df, col, key, name="_pos").withColumn("_total", total)
+    tile = ntile_of(F.col("_pos"), F.col("_total"), n)
+    return ranked.withColumn(name, tile).drop("_pos", "_total")
 
 
 def tile_average(df: DataFrame, tile: str, value: str, name: str) -> DataFrame:

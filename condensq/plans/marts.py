@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from condensq.functions.labels import confidence, label_text, short_name
 from condensq.functions.numeric import round_columns
 from condensq.operators.explain import attribution_columns
-from condensq.operators.ranking import cut_points, first_per_key, running_totals
+from condensq.operators.ranking import first_per_key, running_totals, with_range_bucket
 from condensq.operators.tables import enrich
 from condensq.schemas import STAR_FEATURES
 
@@ -86,10 +86,11 @@ def population_context(df: DataFrame, cols: Sequence[str], key: str = "gene_id")
     per = long.groupBy("feature", "value").agg(
         F.count_if(F.col("class") == 1).alias("pos"), F.count_if(F.col("class") == 0).alias("neg")
     )
-    grades = per.withColumn("_b", F.coalesce(_grade(per), F.lit(0)))
+    # Cut points come from all features together; each feature uses its part of the scale.
     cum = running_totals(
-        grades, {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, [F.col("value")],
-        F.col("_b"), ["feature"],
+        with_range_bucket(per, F.col("value")),
+        {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, [F.col("value")],
+        F.col("_range"), ["feature"],
     )
     totals = per.groupBy("feature").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     below = cum.join(F.broadcast(totals), "feature").select(  # one row per feature
@@ -99,8 +100,3 @@ def population_context(df: DataFrame, cols: Sequence[str], key: str = "gene_id")
     )
     return long.select(key, "feature", "value").join(below, ["feature", "value"])
 
-
-def _grade(per: DataFrame, buckets: int = 32):
-    """Rising bucket from quantiles over all features; each feature uses part of the scale."""
-    cuts = cut_points(per, F.col("value"), buckets)
-    return F.size(F.filter(cuts, lambda c: c < F.col("value")))

@@ -1,11 +1,12 @@
 """The star schema and the other inputs of the query catalog, derived from the given tables.
 
-Every column is a plain expression of table columns, so Catalyst prunes what a query does not
-use. `SQL` holds the same derivations as ANSI-style text for the side-by-side check.
+The second half of the module states the same derivations as SQL text for the side-by-side check.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from condensq.functions.sequence import (
     sequence_features,
 )
 from condensq.schemas import ATTRIBUTION_FEATURES
+from condensq.session import checkpoint_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,16 @@ def _h(salt: str):
     return seeded_number(F.col("gene_id"), salt)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, spread over the executors: work per text outweighs moving it once."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: ids, label, the bases found in its text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    bases = F.translate(F.regexp_replace(F.upper("text"), "[^ACGTU]", ""), "T", "U")
+    bases = F.translate(F.regexp_replace(F.upper("text"), "[^ACGTU]+", ""), "T", "U")
     rows = docs.join(labels, "doc_id", "left").select(
         "doc_id", locus(F.col("doc_id")).alias("gene_id"), F.col("source").alias("gene_name"),
         F.coalesce("quality", F.lit(-1)).alias("class"), F.col("lang").alias("condition"),
@@ -50,7 +57,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _h("split") % 100
     return sequences(spark, sf_dir).select(
         "gene_id", F.concat("gene_id", F.lit(".1")).alias("transcript_id"), "gene_name", "class",
@@ -59,10 +66,10 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence features as computed; ensemble features are digest numbers, missing in tier 1."""
     s = sequences(spark, sf_dir)
-    s = s.withColumns(sequence_features(F.col("seq"), F.col("aa_len"), digits=6))
+    s = sequence_features(s, "seq", F.col("aa_len"), digits=10)
     dynamic = lambda salt, span, div: F.when(
         F.col("tier") > 1, (_h(salt) % span) / F.lit(float(div))
     )
@@ -81,10 +88,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     s = s.withColumn("mfe", F.col("mfe_per_nt") * F.col("mrna_length"))
     out = engineer_features(length_normalise(s))
-    return out.drop("doc_id", "gene_name", "class", "condition", "n_chars", "aa_len", "tier")
+    return out.drop(
+        "doc_id", "gene_name", "class", "condition", "n_chars", "aa_len", "tier", "seq"
+    )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select(locus(F.col("doc_id")).alias("gene_id"))
     prob = _h("p") / F.lit(4294967296.0)
     sampled = _h("sampled") % 3 == 0
@@ -97,6 +106,38 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DERIVE = {
+    "genes": derive_genes, "features": derive_features, "predictions": derive_predictions,
+}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A star table, written once per application to the shared folder and read back from there.
+
+    Questions then scan the few columns they name, with their filters pushed to the files,
+    instead of taking every text apart again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/star-{uuid.uuid4().hex}/{name}"
+        _DERIVE[name](spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "genes")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "features")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "predictions")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with their stored score."""
     g = genes(spark, sf_dir).where(F.col("class") >= 0)
@@ -280,7 +321,7 @@ f5 AS (
          {_count_sql('AU')} / nullif(mrna_length, 0) AS au_content,
          {_count_sql('GC')} / nullif(mrna_length, 0) AS gc_content,
          round_even(coalesce((length(tail) - length(translate(tail, 'AU', '')))::DOUBLE
-                    / nullif(length(tail), 0), 0), 6) AS utr3_au_content,
+                    / nullif(length(tail), 0), 0), 10) AS utr3_au_content,
          len(regexp_extract_all(seq, '[AG][AG]AC[ACU]')) AS rrach_count,
          len(regexp_extract_all(seq, 'AAAC[ACU]')) AS aaach_count,
          ({h_sql('idr')} % 100003) / 1000.03::DOUBLE AS idr_percent,

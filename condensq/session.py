@@ -51,3 +51,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint behind a row count; beyond the bound Catalyst picks a shuffled join."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by key if the scan has too few partitions to keep the executors busy.
+
+    A large table comes in enough splits and passes unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
