@@ -187,8 +187,9 @@ def tile_contigs(contigs: DataFrame, size: int = 10_000) -> DataFrame:
 def spliced_sequence(exons: DataFrame, tiles: DataFrame, size: int = 10_000) -> DataFrame:
     """Transcript sequence: exon pieces in transcript order, reverse-complemented on `-`.
 
-    exons: transcript_id, contig, strand, start, end. Pieces come from an equi join on
-    (contig, tile); an exon that crosses tiles is put together again by the sort.
+    exons: transcript_id, contig, strand, start, end, and exon_id if exons of one transcript may
+    coincide. Pieces come from an equi join on (contig, tile); an exon that crosses tiles is put
+    together again by the sort.
     """
     pieces = exons.where("end >= start").withColumn(
         "tile",
@@ -201,11 +202,13 @@ def spliced_sequence(exons: DataFrame, tiles: DataFrame, size: int = 10_000) ->
     cut = F.substring(
         F.col("text"), (lo - F.col("tile") * size).cast("int"), (hi - lo + 1).cast("int")
     )
+    order = [c for c in ("start", "end", "exon_id") if c in exons.columns]
     joined = pieces.join(tiles, ["contig", "tile"]).select(
-        "transcript_id", "strand", lo.alias("lo"), cut.alias("piece")
+        "transcript_id", "strand", *order, lo.alias("lo"), cut.alias("piece")
     )
+    # A row of the result is one sequence, so gathering its pieces is bounded by that row.
     parts = joined.groupBy("transcript_id", "strand").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "piece"))).alias("parts")
+        F.array_sort(F.collect_list(F.struct(*order, "lo", "piece"))).alias("parts")
     )
     text = to_rna(F.array_join(F.col("parts.piece"), ""))
     return parts.select(

@@ -1 +1,165 @@
-"""Placeholder."""
+"""Models on the labelled star: training, calibration, attribution, projection.
+
+The forests here are small, so the queries stay quick; operators default to the full settings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from condensq.config import BoostSettings, ForestSettings
+from condensq.operators import explain as X
+from condensq.operators import models as L
+from condensq.operators.metrics import metric_table
+from condensq.operators.monitoring import classification_report
+from condensq.operators.tables import feature_columns
+from condensq.plans import star as S
+from condensq.plans.catalog import query
+
+FOREST = ForestSettings(trees=12, max_depth=5)
+COLS = [
+    "mrna_length", "au_content", "gc_content", "di_CG", "di_UA", "utr3_length", "utr3_au_content",
+    "rrach_per_kb", "idr_percent", "rmsf_nterm50", "n_residues",
+]
+
+
+def matrix(spark, d):
+    """Labelled rows with their features; the label-derived length is no feature."""
+    g = S.genes(spark, d).where(F.col("class") >= 0).select("gene_id", "class", "split")
+    return g.join(S.features(spark, d).select("gene_id", *COLS), "gene_id")
+
+
+def prepared(spark, d):
+    filled, medians = L.imputation_policy(matrix(spark, d), COLS)
+    return filled.persist(), medians
+
+
+@query("imputation_medians", S.STAR_SQL + """, t AS (
+  SELECT f.* FROM features f JOIN genes USING (gene_id) WHERE class >= 0 AND split = 'train')
+SELECT 'rmsf_nterm50' AS feature, round(median(rmsf_nterm50), 6) AS quantile FROM t
+UNION ALL SELECT 'mrna_length', round(median(mrna_length), 6) FROM t
+UNION ALL SELECT 'idr_percent', round(median(idr_percent), 6) FROM t""")
+def imputation_medians(spark, d):
+    from condensq.operators.ranking import exact_quantiles
+
+    train = matrix(spark, d).where("split = 'train'")
+    out = exact_quantiles(train, ["rmsf_nterm50", "mrna_length", "idr_percent"])
+    return out.select("feature", F.round("quantile", 6).alias("quantile"))
+
+
+@query("rf_scores")
+def rf_scores(spark, d):
+    df, _ = prepared(spark, d)
+    model = L.fit_forest(df.where("split = 'train'"), COLS, params=FOREST)
+    return L.score(df, model).select("gene_id", "class", "split", "prob_pos", "pred", "correct")
+
+
+@query("gbt_scores")
+def gbt_scores(spark, d):
+    df, _ = L.imputation_policy(matrix(spark, d), COLS, "none")
+    cols = feature_columns(df, drop=["is_val"])
+    rows = df.where("split <> 'test'").withColumn("is_val", F.col("split") == "val").persist()
+    model = L.fit_boosting(rows, cols, params=BoostSettings(rounds=8, max_depth=3))
+    return L.score(df, model).select("gene_id", "class", "split", "prob_pos", "pred")
+
+
+@query("baseline_scores")
+def baseline_scores(spark, d):
+    df, _ = prepared(spark, d)
+    model = L.fit_baseline(
+        df.where("split = 'train'"), ("mrna_length", "utr3_length"), params=FOREST
+    )
+    return metric_table(L.score(df, model), ["split"])
+
+
+@query("calibrated_scores")
+def calibrated_scores(spark, d):
+    df, _ = prepared(spark, d)
+    small = ForestSettings(trees=5, max_depth=4)
+    model = L.fit_calibrated(df.where("split = 'train'"), COLS, "gene_id", k=3, params=small)
+    return model.transform(df).select("gene_id", "class", "split", "prob_pos")
+
+
+@query("class_weight_sweep")
+def class_weight_sweep(spark, d):
+    df, _ = prepared(spark, d)
+    best, results = L.sweep_class_weight(
+        df.where("split = 'train'"), df.where("split = 'val'"), COLS,
+        params=ForestSettings(trees=5, max_depth=3),
+    )
+    return spark.createDataFrame(
+        [(k, v, k == best) for k, v in results.items()], "weights string, f1_macro double, best boolean"
+    )
+
+
+@query("attributions")
+def attributions(spark, d):
+    df, _ = prepared(spark, d)
+    model = L.fit_forest(df.where("split = 'train'"), COLS, params=FOREST)
+    nodes = X.forest_nodes(model.stages[-1], spark)
+    out = X.tree_attribution(L.score(df, model), nodes, COLS)
+    return X.attributions_long(out, "gene_id", COLS)
+
+
+@query("importance_comparison")
+def importance_comparison(spark, d):
+    df, _ = prepared(spark, d)
+    named = {}
+    for name, seed in (("first", 1), ("second", 2)):
+        model = L.fit_forest(
+            df.where("split = 'train'"), COLS, params=ForestSettings(trees=5, max_depth=3, seed=seed)
+        )
+        nodes = X.forest_nodes(model.stages[-1], spark)
+        rows = X.attributions_long(X.tree_attribution(df, nodes, COLS), "gene_id", COLS)
+        named[name] = X.global_importance(rows)
+    return X.compare_importance(named)
+
+
+@query("pca_2d")
+def pca_2d(spark, d):
+    df, _ = prepared(spark, d)
+    return L.project_2d(df, COLS).select("gene_id", "class", "pc1", "pc2")
+
+
+@query("classification_report")
+def report(spark, d):
+    df = matrix(spark, d)
+    filled, _ = prepared(spark, d)
+    model = L.fit_forest(filled.where("split = 'train'"), COLS, params=FOREST)
+    return classification_report(
+        df.where("split = 'train'"), df.where("split = 'test'"), model, COLS
+    )
+
+
+def request_bundle(spark, d) -> L.Bundle:
+    """Small scoring bundle trained on what a sequence alone tells."""
+    cols = ["mrna_length", "au_content", "di_CG", "utr3_au_content", "rrach_per_kb", "rmsf_nterm50"]
+    filled, medians = L.imputation_policy(matrix(spark, d), cols)
+    train = filled.where("split = 'train'").persist()
+    model = L.fit_forest(train, cols, params=ForestSettings(trees=6, max_depth=4))
+    return L.Bundle(model, cols, medians)
+
+
+def requests(spark, d):
+    """Every document as a scoring request; some texts hold too few bases."""
+    s = S.sequences(spark, d)
+    return s.select(
+        F.col("doc_id").cast("string").alias("request_id"), "gene_id",
+        F.col("seq").alias("mrna_seq"), F.lit(None).cast("string").alias("protein_seq"),
+    )
+
+
+@query("request_scoring")
+def request_scoring(spark, d):
+    return L.score_batch(requests(spark, d), request_bundle(spark, d))
+
+
+@query("request_validation", S.with_sql(S.SEQ_SQL) + """
+SELECT CASE WHEN length(seq) < 50 THEN 'error' ELSE 'ok' END AS status, count(*) AS n
+FROM seqs GROUP BY 1""")
+def request_validation(spark, d):
+    good, bad = L.validate_requests(requests(spark, d))
+    both = good.select(F.lit("ok").alias("status")).unionByName(
+        bad.select(F.lit("error").alias("status"))
+    )
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
