@@ -12,32 +12,27 @@ from pyspark.sql import functions as F
 from condensq.session import cut_lineage
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """Distinct overlapping substrings of length k; a shorter non-empty sequence is its own."""
-    chars = F.split(seq, "")
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length(seq) - (k - 1)),
-        lambda i: F.array_join(F.slice(chars, i, k), ""),
-    )
-    return (
-        F.when(F.length(seq) >= k, F.array_distinct(pieces))
-        .when(F.length(seq) > 0, F.array(seq))
-        .otherwise(F.array().cast("array<string>"))
-    )
-
+def shingles(df: DataFrame, text: str, k: int, unit: str = "chars", name: str = "items"):
+    """Add the distinct hashed runs of k characters or k words of a text.
 
-def words(text: Column, k: int) -> Column:
-    """Distinct runs of k words."""
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (k - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, k), " "),
-    )
-    return (
-        F.when(F.size(tokens) >= k, F.array_distinct(pieces))
-        .when(F.size(tokens) > 0, F.array(F.array_join(tokens, " ")))
-        .otherwise(F.array().cast("array<string>"))
+    A shorter text is one run; a text without characters or words has none. The pieces are a
+    column of their own first: inside the lambda they would be cut again for every run.
+    """
+    if unit == "chars":
+        pieces = F.split(text, "")
+    else:
+        pieces = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    pieces = F.filter(pieces, lambda t: t != "")
+    n = F.size("_pieces")
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice("_pieces", i, k)),
     )
+    out = df.withColumn("_pieces", pieces)
+    none = F.array().cast("array<bigint>")
+    return out.withColumn(
+        name, F.when(n > 0, F.array_sort(F.array_distinct(runs))).otherwise(none)
+    ).drop("_pieces")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -136,11 +131,10 @@ def similarity_clusters(
     Identity along an alignment is approximated by the Jaccard share of common k-mers. Sequences
     with equal k-mer sets are merged beforehand; those without any k-mer stay alone.
     """
-    shingles = kmers(F.col(seq), k) if unit == "chars" else words(F.col(seq), k)
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
-    digest = F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256)
-    table = df.select(F.col(id_col).alias("id"), hashed.alias("items"))
-    table = cut_lineage(table.withColumn("digest", digest))
+    # Two independent 64-bit hashes and the size identify a set of runs.
+    digest = F.struct(F.xxhash64("items"), F.xxhash64(F.lit(1), "items"), F.size("items"))
+    table = shingles(df.select(F.col(id_col).alias("id"), F.col(seq).alias("text")), "text", k, unit)
+    table = cut_lineage(table.drop("text").withColumn("digest", digest))
     filled = table.where(F.size("items") > 0)
     copies = filled.groupBy("digest").agg(F.min("id").alias("rep"))
     member = filled.select("id", "digest").join(copies, "digest").select("id", "rep")

@@ -78,7 +78,8 @@ def region_lengths(annotation: DataFrame, targets: DataFrame | None = None) -> D
 
 
 def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> DataFrame:
-    """(gene_id, event_id, transcript_id) for transcripts that include an event's region.
+    """Distinct (gene_id, event_id, transcript_id) for transcripts that include an event's region,
+    with the event's type, condition and dpsi.
 
     exons: gene_id, transcript_id, contig, start, end. events: gene_id, event_id, event_type,
     contig, region1_start/end, region2_start/end (1-based; the second region only for mutually
@@ -89,8 +90,9 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
         F.col("start").alias("l_start"), F.col("end").alias("l_end"),
     )
     ev = events.withColumn("contig", normalise_contig(F.col("contig")))
+    about = ["event_type", "condition", "dpsi"]
     regions = ev.select(
-        "gene_id", "event_id", "contig", "event_type",
+        "gene_id", "event_id", "contig", *about,
         F.explode(
             F.array(
                 F.struct(F.col("region1_start").alias("s"), F.col("region1_end").alias("e")),
@@ -98,7 +100,7 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
             )
         ).alias("r"),
     ).select(
-        "gene_id", "event_id", "contig", "event_type",
+        "gene_id", "event_id", "contig", *about,
         F.col("r.s").alias("r_start"), F.col("r.e").alias("r_end"),
     ).where("r_start IS NOT NULL AND r_end IS NOT NULL")
     keys = ["gene_id", "contig"]
@@ -108,38 +110,42 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
     retained = interval_contains(
         ex, regions.where("event_type = 'RI'"), keys, INTRON_SLACK, width
     )
-    return overlapping.unionByName(retained).select("gene_id", "event_id", "transcript_id")
+    hits = overlapping.unionByName(retained)
+    return hits.select("gene_id", "event_id", "transcript_id", *about).distinct()
 
 
-def first_matching_event(events: DataFrame, matches: DataFrame, meta: DataFrame) -> DataFrame:
+def first_matching_event(matches: DataFrame, meta: DataFrame) -> DataFrame:
     """Per gene the first event by falling |dpsi| that any transcript includes, and its best one.
 
     Ties: heat-stress events first, then event id; transcripts by canonical, coding, exons, order.
+    Both choices are partial aggregates: transcripts within an event, then events within a gene.
     """
-    ranked = matches.distinct().join(
-        events.select("event_id", "event_type", "condition", "dpsi"), "event_id"
-    ).join(meta.drop("gene_id"), "transcript_id")
     coding = (F.coalesce(F.col("biotype"), F.lit("")) == "protein_coding").cast("int")
-    order = F.struct(
+    by_transcript = F.struct(
+        (-F.col("is_canonical").cast("int")).alias("a"), (-coding).alias("b"),
+        (-F.col("n_exons")).alias("c"), F.col("ord").alias("d"),
+    )
+    rated = matches.join(meta.drop("gene_id"), "transcript_id")
+    per_event = rated.groupBy("gene_id", "event_id", "event_type", "condition", "dpsi").agg(
+        F.min_by("transcript_id", by_transcript).alias("transcript_id"),
+        F.count(F.lit(1)).alias("n_candidates"),
+    )
+    by_event = F.struct(
         F.coalesce(-F.abs("dpsi"), F.lit(1.0)).alias("a"),
         F.when(F.col("condition") == "HS", 0).otherwise(1).alias("b"),
         F.col("event_id").alias("c"),
-        (-F.col("is_canonical").cast("int")).alias("d"),
-        (-coding).alias("e"),
-        (-F.col("n_exons")).alias("f"),
-        F.col("ord").alias("g"),
-    )
-    pick = F.struct("transcript_id", "event_id", "event_type", "condition")
-    chosen = ranked.groupBy("gene_id").agg(F.min_by(pick, order).alias("p"))
-    # Candidates of the chosen event are counted afterwards: one row per gene joins back.
-    chosen = chosen.select("gene_id", "p.*").withColumnRenamed("condition", "event_condition")
-    n = matches.distinct().groupBy("gene_id", "event_id").agg(F.count("*").alias("n_candidates"))
+    )
+    pick = F.struct(
+        "transcript_id", "event_id", "event_type", F.col("condition").alias("event_condition"),
+        "n_candidates",
+    )
+    chosen = per_event.groupBy("gene_id").agg(F.min_by(pick, by_event).alias("p"))
+    more = F.concat(F.lit("_"), "n_candidates", F.lit("candidates"))
     source = F.concat(
         F.lit("event_"), F.col("event_type"), F.lit("_overlap"),
-        F.when(F.col("n_candidates") > 1, F.concat(F.lit("_"), "n_candidates", F.lit("candidates")))
-        .otherwise(F.lit("")),
+        F.when(F.col("n_candidates") > 1, more).otherwise(F.lit("")),
     )
-    return chosen.join(n, ["gene_id", "event_id"]).withColumn("isoform_source", source)
+    return chosen.select("gene_id", "p.*").withColumn("isoform_source", source)
 
 
 def map_isoforms(
@@ -149,7 +155,7 @@ def map_isoforms(
     positives = labelled.where("class = 1").select("gene_id")
     own_events = events.join(positives, "gene_id", "left_semi")
     matches = event_matches(exons, own_events, width)
-    guided = first_matching_event(own_events, matches, meta).select(
+    guided = first_matching_event(matches, meta).select(
         "gene_id", F.col("transcript_id").alias("g_tx"), "event_type", "event_condition",
         "isoform_source",
     )

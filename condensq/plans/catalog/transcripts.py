@@ -106,7 +106,7 @@ FROM best WHERE k = 1""")
 def first_matching_event(spark, d):
     ev = S.splice_events(spark, d)
     hits = T.event_matches(S.exons(spark, d), ev)
-    out = T.first_matching_event(ev, hits, S.transcripts(spark, d))
+    out = T.first_matching_event(hits, S.transcripts(spark, d))
     return out.select(
         "gene_id", "transcript_id", "event_id", "event_type", "event_condition", "n_candidates",
         "isoform_source",

@@ -17,26 +17,25 @@ def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 # Annotation ----------------------------------------------------------------------------------
 
-def parse_attributes(col: Column) -> Column:
+def parse_attributes(df: DataFrame, text: str, name: str = "attrs") -> DataFrame:
     """`key "value";` pairs as a map; a repeated key keeps all its values, comma-joined."""
     pairs = F.transform(
-        F.regexp_extract_all(col, F.lit(r'(\w+)\s+"([^"]*)"'), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(r'(\w+)\s+"([^"]*)"'), F.lit(0)),
         lambda p: F.struct(
             F.regexp_extract(p, r"^(\w+)", 1).alias("k"),
             F.regexp_extract(p, r'"([^"]*)"', 1).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(
-        F.transform(
-            keys,
-            lambda k: F.struct(
-                k.alias("key"),
-                F.array_join(
-                    F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), ","
-                ).alias("value"),
-            ),
-        )
+    out = df.withColumn("_pairs", pairs)
+    out = out.withColumn("_keys", F.array_distinct(F.transform("_pairs", lambda p: p["k"])))
+    entry = lambda k: F.struct(
+        k.alias("key"),
+        F.array_join(
+            F.transform(F.filter("_pairs", lambda p: p["k"] == k), lambda p: p["v"]), ","
+        ).alias("value"),
+    )
+    return out.withColumn(name, F.map_from_entries(F.transform("_keys", entry))).drop(
+        "_pairs", "_keys"
     )
 
 
@@ -52,12 +51,13 @@ def read_annotation(
     if features is not None:
         cells = cells.where(F.get("f", 2).isin(list(features)))
     g = lambda i: F.get("f", i)
-    return cells.select(
+    named = cells.select(
         g(0).alias("seqname"), g(1).alias("source"), g(2).alias("feature"),
         g(3).try_cast("long").alias("start"), g(4).try_cast("long").alias("end"),
         g(5).alias("score"), g(6).alias("strand"), g(7).alias("frame"),
-        parse_attributes(g(8)).alias("attrs"), F.col("value").alias("line"),
+        g(8).alias("_text"), F.col("value").alias("line"),
     )
+    return parse_attributes(named, "_text").drop("_text")
 
 
 def filter_annotation(ann: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
