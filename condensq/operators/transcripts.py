@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from condensq.functions.sequence import reverse_complement, to_rna
 from condensq.operators.intervals import (
-    interval_contains,
-    interval_overlap,
+    binned_join,
+    contained,
     normalise_contig,
+    overlap_length,
+    shrink,
 )
 from condensq.operators.ranking import best_per_key
 
@@ -103,14 +105,10 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
         "gene_id", "event_id", "contig", *about,
         F.col("r.s").alias("r_start"), F.col("r.e").alias("r_end"),
     ).where("r_start IS NOT NULL AND r_end IS NOT NULL")
-    keys = ["gene_id", "contig"]
-    overlapping = interval_overlap(
-        ex, regions.where("event_type <> 'RI'"), keys, MIN_OVERLAP, width
-    ).drop("overlap")
-    retained = interval_contains(
-        ex, regions.where("event_type = 'RI'"), keys, INTRON_SLACK, width
-    )
-    hits = overlapping.unionByName(retained)
+    retained = F.col("event_type") == "RI"
+    cut = shrink(regions, F.when(retained, F.lit(INTRON_SLACK)).otherwise(F.lit(0)))
+    included = F.when(retained, contained()).otherwise(overlap_length() >= MIN_OVERLAP)
+    hits = binned_join(ex, cut, ["gene_id", "contig"], included, width)
     return hits.select("gene_id", "event_id", "transcript_id", *about).distinct()
 
 
