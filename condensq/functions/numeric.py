@@ -33,7 +33,7 @@ def any_ge(cols: list[Column], threshold: float) -> Column:
 
 
 def strongest_abs(cols: list[Column]) -> Column:
-    return F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0))) for c in cols])
+    return F.greatest(F.lit(0.0), *[F.abs(c) for c in cols])
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -65,8 +65,8 @@ def resolve_conflicts(
     if strategy not in ("enriched", "depleted", "drop", "strongest"):
         raise ValueError(f"unknown conflict strategy: {strategy}")
     parts = [F.coalesce(F.col(c), F.lit(0.0)) for c in signals]
-    up = F.greatest(*[F.greatest(c, F.lit(0.0)) for c in parts])
-    down = F.greatest(*[F.greatest(-c, F.lit(0.0)) for c in parts])
+    up = F.greatest(F.lit(0.0), *parts)
+    down = F.abs(F.least(F.lit(0.0), *parts))
     conflict = is_pos & is_neg
     up_wins = up >= down
     if strategy == "strongest":
