@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensq.operators.ranking import exact_quantiles
@@ -57,34 +57,47 @@ def coverage(df: DataFrame, col: str, value: str) -> DataFrame:
     )
 
 
+def summarise_columns(
+    df: DataFrame, cols: Sequence[str], stats: Callable[[Column], dict[str, Column]], by=()
+) -> DataFrame:
+    """One row per (by, feature) with the given statistics.
+
+    All columns are summed side by side in one aggregate; only its small result is turned long.
+    """
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            *[s.alias(n) for n, s in stats(F.col(c).cast("double")).items()],
+        )
+        for c in cols
+    ]
+    wide = df.groupBy(*by).agg(F.array(*entries).alias("_s"))
+    return wide.select(*by, F.explode("_s").alias("_s")).select(*by, "_s.*")
+
+
 def describe_by(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """n, median, mean, sample deviation, min, max per group and column."""
     by = list(by)
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        by, list(cols), "feature", "value"
-    )
-    stats = long.groupBy(*by, "feature").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    stats = summarise_columns(
+        df, cols,
+        lambda v: {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v),
+                   "max": F.max(v)},
+        by,
     )
+    keys = [*by, "feature"]
     med = exact_quantiles(df, cols, by=by).select(
-        *[F.col(c).alias(f"_{c}") for c in [*by, "feature"]], F.col("quantile").alias("median")
+        *[F.col(c).alias(f"_{c}") for c in keys], F.col("quantile").alias("median")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "feature"]]
-    return stats.join(med, same, "left").drop(*[f"_{c}" for c in [*by, "feature"]])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return stats.join(med, same, "left").drop(*[f"_{c}" for c in keys])
 
 
 def class_separation(df: DataFrame, cols: Sequence[str], label: str = "class") -> DataFrame:
     """Mean per class and their ratio per feature; infinite when only the divisor is 0."""
-    long = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [label], list(cols), "feature", "value"
-    )
-    out = long.groupBy("feature").agg(
-        F.avg(F.when(F.col(label) == 1, F.col("value"))).alias("mean_pos"),
-        F.avg(F.when(F.col(label) == 0, F.col("value"))).alias("mean_neg"),
+    out = summarise_columns(
+        df, cols,
+        lambda v: {"mean_pos": F.avg(F.when(F.col(label) == 1, v)),
+                   "mean_neg": F.avg(F.when(F.col(label) == 0, v))},
     )
     ratio = F.when(F.col("mean_neg") == 0, F.lit(float("inf"))).otherwise(
         F.try_divide("mean_pos", "mean_neg")
@@ -94,13 +107,9 @@ def class_separation(df: DataFrame, cols: Sequence[str], label: str = "class") -
 
 def column_digest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """min, median, max and missing count per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "feature", "value"
-    )
-    stats = long.groupBy("feature").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
+    stats = summarise_columns(
+        df, cols,
+        lambda v: {"min": F.min(v), "max": F.max(v), "n_missing": F.count_if(v.isNull())},
     )
     med = exact_quantiles(df, cols).select("feature", F.col("quantile").alias("median"))
     return stats.join(med, "feature", "left")
@@ -164,8 +173,9 @@ def corpus_manifest(chunks: DataFrame, source: str = "source") -> DataFrame:
 
 
 def weighted(df: DataFrame, weights: DataFrame, label: str = "class") -> DataFrame:
-    """Attach the per-class weight; the weights table has one row per class."""
-    return df.join(F.broadcast(weights.select(label, "weight")), label)
+    """Attach the per-class weight; only the two classes of a binary label are kept."""
+    two = weights.where(F.col(label).isin(0, 1)).select(label, "weight")
+    return df.join(F.broadcast(two), label)
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:

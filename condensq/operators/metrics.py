@@ -85,19 +85,20 @@ def _totals(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     )
 
 
+def _area_columns() -> dict[str, Column]:
+    """AUROC and average precision from cumulative rows; the totals are sums of the same rows."""
+    n_pos, n_neg = F.sum("pos"), F.sum("neg")
+    wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
+    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return {"auroc": F.try_divide(wins, n_pos * n_neg), "auprc": F.try_divide(gain, n_pos)}
+
+
 def areas(
     df: DataFrame, by: Sequence[str] = (), label: str = "class", prob: str = "prob_pos"
 ) -> DataFrame:
     """AUROC (rank form, ties count half) and step-wise average precision."""
     cum = cumulative_counts(df, by, label, prob)
-    # The denominators are the sums over the same rows, so no totals join is needed.
-    wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    n_pos, n_neg = F.sum("pos"), F.sum("neg")
-    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return cum.groupBy(*by).agg(
-        F.try_divide(wins, n_pos * n_neg).alias("auroc"),
-        F.try_divide(gain, n_pos).alias("auprc"),
-    )
+    return cum.groupBy(*by).agg(*[c.alias(n) for n, c in _area_columns().items()])
 
 
 def auroc(df, by=(), label="class", prob="prob_pos") -> DataFrame:
@@ -114,7 +115,7 @@ def roc_points(
     """False and true positive rate at every distinct score."""
     cum = cumulative_counts(df, by, label, prob)
     tot = _totals(df, by, label)
-    cum = cum.join(F.broadcast(tot), list(by)) if by else _attach_one(cum, tot)
+    cum = cum.join(tot, list(by)) if by else _attach_one(cum, tot)
     return cum.select(
         *by, F.col(prob).alias("threshold"), _safe(F.col("fp"), F.col("n_neg")).alias("fpr"),
         _safe(F.col("tp"), F.col("n_pos")).alias("tpr"),
@@ -127,7 +128,7 @@ def pr_points(
     """Precision and recall at every distinct score."""
     cum = cumulative_counts(df, by, label, prob)
     tot = _totals(df, by, label)
-    cum = cum.join(F.broadcast(tot), list(by)) if by else _attach_one(cum, tot)
+    cum = cum.join(tot, list(by)) if by else _attach_one(cum, tot)
     return cum.select(
         *by, F.col(prob).alias("threshold"),
         _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -217,10 +218,22 @@ def curated_misses(preds: DataFrame, ids: DataFrame, key: str = "gene_id") -> Da
 
 
 def metric_table(df: DataFrame, by: Sequence[str], label="class", prob="prob_pos") -> DataFrame:
-    """AUROC, AUPRC, F1s, Brier per group (run, split, ...)."""
+    """Counts, F1s, AUROC, AUPRC and Brier score per group (run, split, ...).
+
+    Everything follows from the cumulative counts per distinct score, so the rows are read once.
+    """
     by = list(by)
-    counts = class_metrics(df, 0.5, by, label, prob)
-    return counts.join(areas(df, by, label, prob), by).join(brier(df, by, label, prob), by)
+    cum = cumulative_counts(df, by, label, prob)
+    p, hit = F.col(prob), F.col(prob) >= 0.5
+    part = lambda c, keep: F.sum(F.when(keep, F.col(c)).otherwise(0))
+    loss = F.sum(F.col("pos") * (1 - p) ** 2 + F.col("neg") * p**2)
+    out = cum.groupBy(*by).agg(
+        part("neg", ~hit).alias("tn"), part("neg", hit).alias("fp"),
+        part("pos", ~hit).alias("fn"), part("pos", hit).alias("tp"),
+        *[c.alias(n) for n, c in _area_columns().items()],
+        F.try_divide(loss, F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+    )
+    return rates(out)
 
 
 METRICS = ("auroc", "auprc", "f1_macro", "f1_pos", "f1_neg", "brier")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condensq.operators.aggregates import summarise_columns
 from condensq.operators.metrics import metric_table
 from condensq.operators.models import fit_medians, impute, score
 
@@ -85,16 +86,12 @@ def dataset_drift(per_feature: DataFrame, share: float = 0.5) -> DataFrame:
 
 def quality_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows, missing values, min, max, mean and deviation per column in one pass."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "feature", "value"
-    )
-    return long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
+    return summarise_columns(
+        df, cols,
+        lambda v: {
+            "n": F.count(F.lit(1)), "n_missing": F.count_if(v.isNull()), "min": F.min(v),
+            "max": F.max(v), "mean": F.round(F.avg(v), 6), "std": F.round(F.stddev_samp(v), 6),
+        },
     )
 
 

@@ -170,59 +170,74 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per column (and group): one row per (by, feature, prob).
 
-    Approximate quantiles bracket each answer. Rows outside the bracket are only counted; those
-    inside are reduced to distinct values with counts before they are ordered.
+    Approximate quantiles bracket each answer. Values below the bracket are only counted; the few
+    inside it become rows, are reduced to distinct values and ordered. Nothing else is multiplied
+    or moved, whatever the number of columns.
     """
-    by = list(by)
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        by, list(cols), "feature", "value"
-    ).where("value IS NOT NULL")
-    group = [*by, "feature"]
-    edges = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    brackets = long.groupBy(*group).agg(
-        F.percentile_approx("value", edges, accuracy).alias("edges"),
-        F.count("value").alias("n"),
+    by, cols = list(by), list(cols)
+    asks = [(c, float(p)) for c in cols for p in probs]
+    group = F.struct(*by, F.lit(0).alias("_all"))
+    base = df.select(group.alias("_g"), *[F.col(c).cast("double").alias(c) for c in cols])
+
+    def edge(p: float) -> float:
+        return min(1.0, max(0.0, p))
+
+    # Two brackets and a count per question, side by side in one row per group.
+    approx = base.groupBy("_g").agg(
+        *[F.count(c).alias(f"_n_{i}") for i, (c, _) in enumerate(asks)],
+        *[
+            F.percentile_approx(c, [edge(p - margin), edge(p + margin)], accuracy).alias(f"_e_{i}")
+            for i, (c, p) in enumerate(asks)
+        ],
     )
-    per_prob = brackets.select(
-        *group,
-        "n",
-        F.explode(
-            F.array(
-                *[
+    # Without groups the brackets are one row; with many, their size decides at run time.
+    placed = base.join(approx if by else F.broadcast(approx), "_g")
+    lo = [F.get(f"_e_{i}", 0) for i in range(len(asks))]
+    hi = [F.get(f"_e_{i}", 1) for i in range(len(asks))]
+    below = placed.groupBy("_g").agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"), F.lit(None).cast("double").alias("v"),
+                    F.count_if(F.col(c) < lo[i]).alias("c"), F.first(f"_n_{i}").alias("n"),
+                )
+                for i, (c, _) in enumerate(asks)
+            ]
+        ).alias("s")
+    ).select("_g", F.explode("s").alias("s")).select("_g", "s.*")
+    inside = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(c).between(lo[i], hi[i]),
                     F.struct(
-                        F.lit(float(p)).alias("prob"),
-                        F.element_at("edges", 2 * i + 1).alias("lo"),
-                        F.element_at("edges", 2 * i + 2).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("q"),
-    ).select(*group, "n", "q.*")
-    keyed = per_prob.select(*[F.col(c).alias(f"_k_{c}") for c in group], "n", "prob", "lo", "hi")
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group]
-    held = long.join(keyed, match)
-    # Values below the bracket collapse into one NULL entry that carries their count.
-    counts = (
-        held.where("value <= hi")
-        .groupBy(
-            *group, "prob", "n", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("v")
+                        F.lit(i).alias("i"), F.col(c).alias("v"), F.col(f"_n_{i}").alias("n")
+                    ),
+                )
+                for i, (c, _) in enumerate(asks)
+            ]
         )
-        .agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy(*group, "prob").orderBy(F.col("v").asc_nulls_first())
-    cum = counts.withColumn("upto", F.sum("c").over(order))
-    target = (F.col("n") - 1) * F.col("prob")
-    first, second = F.floor(target) + 1, F.ceil(target) + 1
-
-    def at(pos):
-        return F.min(F.when(F.col("upto") >= pos, F.col("v")))
-
-    return (
-        cum.groupBy(*group, "prob")
-        .agg(at(first).alias("a"), at(second).alias("b"), F.first("n").alias("n"))
-        .withColumn("w", (F.col("n") - 1) * F.col("prob") - F.floor((F.col("n") - 1) * F.col("prob")))
-        .select(*group, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"))
+    near = placed.select("_g", F.explode(inside).alias("s")).select("_g", "s.*")
+    counts = near.groupBy("_g", "i", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("_g", "i").orderBy(F.col("v").asc_nulls_first())
+    cum = counts.select("_g", "i", "v", "c", "n").unionByName(below.select("_g", "i", "v", "c", "n"))
+    cum = cum.withColumn("upto", F.sum("c").over(order))
+    prob = F.element_at(F.array(*[F.lit(p) for _, p in asks]), F.col("i") + 1)
+    target = (F.col("n") - 1) * prob
+    first, second = F.floor(target), F.ceil(target)
+
+    def at(pos: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= pos + 1, F.col("v")))
+
+    found = cum.groupBy("_g", "i").agg(
+        at(first).alias("a"), at(second).alias("b"), F.first(target - first).alias("w")
+    )
+    names = F.element_at(F.array(*[F.lit(c) for c, _ in asks]), F.col("i") + 1)
+    return found.where("a IS NOT NULL").select(
+        *[F.col(f"_g.{c}").alias(c) for c in by],
+        names.alias("feature"), prob.alias("prob"),
+        (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"),
     )
 
 

@@ -47,7 +47,7 @@ def metrics_long(runs: DataFrame) -> DataFrame:
 
 def run_history(metric_rows: DataFrame, phases: DataFrame) -> DataFrame:
     """Metric rows of all runs in phase order. phases: run, phase, phase_order, notes."""
-    return metric_rows.join(F.broadcast(phases), "run", "left").orderBy(
+    return metric_rows.join(phases, "run", "left").orderBy(
         "phase_order", "run", "split"
     )
 

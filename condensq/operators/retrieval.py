@@ -21,6 +21,7 @@ CHUNK_OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 # Fixed values end.
 MAX_BROADCAST_QUERIES = 4096
+SLICE = 2048
 
 
 # Chunking ------------------------------------------------------------------------------------
@@ -160,7 +161,7 @@ _HITS = "query_id long, chunk_id long, score double"
 
 def top_k(
     queries: DataFrame, chunks: DataFrame, k: int = 5, digits: int | None = 4,
-    max_broadcast: int = MAX_BROADCAST_QUERIES, block: int = 4096,
+    max_broadcast: int = MAX_BROADCAST_QUERIES, block: int = 4096, corpus_block: int = 32_768,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k most similar chunks of every query, exact.
 
@@ -171,7 +172,7 @@ def top_k(
     if fits(queries, max_broadcast):
         local = _top_k_broadcast(queries, chunks, k)
     else:
-        local = _top_k_blocks(queries, chunks, k, block)
+        local = _top_k_blocks(queries, chunks, k, block, corpus_block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     out = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     value = F.col("score") if digits is None else F.bround("score", digits)
@@ -195,10 +196,15 @@ def _top_k_broadcast(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame
     return chunks.select("chunk_id", "embedding").mapInPandas(scan, _HITS)
 
 
-def _top_k_blocks(queries: DataFrame, chunks: DataFrame, k: int, block: int) -> DataFrame:
-    """Every query block meets every corpus block once; blocks are drawn by id hash."""
+def _top_k_blocks(
+    queries: DataFrame, chunks: DataFrame, k: int, block: int, corpus_block: int
+) -> DataFrame:
+    """Every query block meets every corpus block once; blocks are drawn by id hash.
+
+    A corpus block is the larger one, so queries are copied less often; it is scored in slices.
+    """
     qn = max(1, -(-queries.count() // block))
-    cn = max(1, -(-chunks.count() // block))
+    cn = max(1, -(-chunks.count() // corpus_block))
 
     def cells(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
         mine = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own)
@@ -211,8 +217,10 @@ def _top_k_blocks(queries: DataFrame, chunks: DataFrame, k: int, block: int) ->
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best = _Best(k)
         if len(left) and len(right):
-            scores = _unit(right["embedding"].to_list()) @ _unit(left["embedding"].to_list()).T
-            best.add(left["query_id"].to_list(), scores, right["chunk_id"].to_numpy())
+            ids, m = left["query_id"].to_list(), _unit(left["embedding"].to_list()).T
+            for i in range(0, len(right), SLICE):
+                part = right.iloc[i:i + SLICE]
+                best.add(ids, _unit(part["embedding"].to_list()) @ m, part["chunk_id"].to_numpy())
         return best.frame()
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, _HITS)

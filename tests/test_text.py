@@ -55,7 +55,7 @@ def test_top_k_is_exact_on_both_paths(spark, limit):
     cv, c = vectors(spark, 300, "chunk_id", 2)
     qv, cv = np.float32(qv).astype(float), np.float32(cv).astype(float)
     sim = (qv / np.linalg.norm(qv, axis=1, keepdims=True)) @ (cv / np.linalg.norm(cv, axis=1, keepdims=True)).T
-    out = P.top_k(q, c.repartition(5), 4, digits=None, max_broadcast=limit, block=16).collect()
+    out = P.top_k(q, c.repartition(5), 4, digits=None, max_broadcast=limit, block=16, corpus_block=64).collect()
     assert len(out) == 160
     for r in out:
         assert r.chunk_id == np.argsort(-sim[r.query_id])[r["rank"] - 1]
