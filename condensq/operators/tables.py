@@ -157,6 +157,15 @@ def re_enrich(dependent: DataFrame, patched: DataFrame, key: str, cols: Sequence
     return dependent.drop(*cols).join(patched.select(key, *cols), key, "left")
 
 
+def param_grid(df: DataFrame, values: Sequence, name: str) -> DataFrame:
+    """Every row once per parameter value; the values are literals of the plan.
+
+    Where counts per value are wanted, count first and meet the grid afterwards, as
+    `metrics.threshold_sweep` does.
+    """
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
 # Set operations ------------------------------------------------------------------------------
 
 def union_all(*dfs: DataFrame) -> DataFrame:

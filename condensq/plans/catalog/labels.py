@@ -92,7 +92,7 @@ _JOINED_SQL = """joined AS (
   SELECT e.*, coalesce(ap_ns >= 0, false) OR coalesce(ap_hs >= 0, false)
          OR coalesce(pdl_ns >= 0, false) AS hit,
          greatest(coalesce(log2fc_ns, 0), coalesce(log2fc_hs, 0), 0) AS up,
-         greatest(-coalesce(log2fc_ns, 0), -coalesce(log2fc_hs, 0), 0) AS down
+         abs(least(coalesce(log2fc_ns, 0), coalesce(log2fc_hs, 0), 0)) AS down
   FROM evidence e LEFT JOIN protein USING (gene_id)),
 sides AS (
   SELECT *, (enriched_ns OR enriched_hs) AND hit AS is_pos, depleted_ns OR depleted_hs AS is_neg

@@ -114,14 +114,17 @@ def read_events(
     )
 
 
-def read_state(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Key to status maps of several JSON files; for a key in two files the later file wins."""
+def read_state(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Key to status maps of several JSON files; for a key in two files the later file wins.
+
+    A file is one map, or with `lines` one map per line, which large state tables need.
+    """
     entry = (
         "struct<status:string,n_conformations:bigint,runtime_sec:double,error:string,"
         "timestamp:string>"
     )
     parts = [
-        spark.read.option("wholetext", True).text(p)
+        spark.read.option("wholetext", not lines).text(p)
         .select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("key", "s"))
         .select("key", F.lit(i).alias("file"), "s.*")
         for i, p in enumerate(paths)

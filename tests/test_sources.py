@@ -118,6 +118,8 @@ def test_state_files(spark, tmp_path, rows):
     b = write(tmp_path / "b.json", json.dumps({"k1": {"status": "completed"}}))
     assert rows(T.read_state(spark, [a, b]), "key", "status", "runtime_sec") == [
         ("k1", "completed", None), ("k2", "completed", 2.5)]
+    c = write(tmp_path / "c.json", '{"k3": {"status": "running"}}\n{"k4": {"status": "failed"}}\n')
+    assert rows(T.read_state(spark, [c], lines=True), "key", "status") == [("k3", "running"), ("k4", "failed")]
 
 
 def test_sql_over_a_file(spark, tmp_path):
