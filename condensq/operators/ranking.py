@@ -172,7 +172,9 @@ def exact_quantiles(
 
     Approximate quantiles bracket each answer. Values below the bracket are only counted; the few
     inside it become rows, are reduced to distinct values and ordered. Nothing else is multiplied
-    or moved, whatever the number of columns.
+    or moved, whatever the number of columns. In small groups the bracket is the whole range, as
+    the margin would span less than the neighbouring positions. A bracket that missed its answer
+    would raise an error.
     """
     by, cols = list(by), list(cols)
     asks = [(c, float(p)) for c in cols for p in probs]
@@ -183,12 +185,15 @@ def exact_quantiles(
         return min(1.0, max(0.0, p))
 
     # Two brackets and a count per question, side by side in one row per group.
+    small = 10 / margin
+
+    def bracket(c: str, p: float) -> Column:
+        near = F.percentile_approx(c, [edge(p - margin), edge(p + margin)], accuracy)
+        return F.when(F.count(c) < small, F.array(F.min(c), F.max(c))).otherwise(near)
+
     approx = base.groupBy("_g").agg(
         *[F.count(c).alias(f"_n_{i}") for i, (c, _) in enumerate(asks)],
-        *[
-            F.percentile_approx(c, [edge(p - margin), edge(p + margin)], accuracy).alias(f"_e_{i}")
-            for i, (c, p) in enumerate(asks)
-        ],
+        *[bracket(c, p).alias(f"_e_{i}") for i, (c, p) in enumerate(asks)],
     )
     # Without groups the brackets are one row; with many, their size decides at run time.
     placed = base.join(approx if by else F.broadcast(approx), "_g")
@@ -230,14 +235,20 @@ def exact_quantiles(
     def at(pos: Column) -> Column:
         return F.min(F.when(F.col("upto") >= pos + 1, F.col("v")))
 
-    found = cum.groupBy("_g", "i").agg(
-        at(first).alias("a"), at(second).alias("b"), F.first(target - first).alias("w")
+    found = cum.where("n > 0").groupBy("_g", "i").agg(
+        at(first).alias("a"), at(second).alias("b"), F.first(target - first).alias("w"),
+        (
+            (F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)) > F.first(first))
+            | (F.max("upto") <= F.first(second))
+        ).alias("missed"),
     )
     names = F.element_at(F.array(*[F.lit(c) for c, _ in asks]), F.col("i") + 1)
-    return found.where("a IS NOT NULL").select(
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
+    checked = F.when(F.col("missed"), F.raise_error(F.lit("quantile bracket missed its answer")))
+    return found.select(
         *[F.col(f"_g.{c}").alias(c) for c in by],
         names.alias("feature"), prob.alias("prob"),
-        (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"),
+        checked.otherwise(value).cast("double").alias("quantile"),
     )
 
 

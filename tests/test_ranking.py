@@ -70,6 +70,18 @@ def test_exact_quantiles(skewed, p):
         assert got[g] == pytest.approx(np.quantile(vals, p))
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 210, 4999, 5001, 60000])
+def test_quantiles_at_any_size(spark, n):
+    df = spark.range(n).select(((F.col("id") * 7919) % 10007 / 3.0).alias("v"))
+    vals = df.toPandas().v
+    for r in exact(df, (0.05, 0.25, 0.95)):
+        assert r.quantile == pytest.approx(np.quantile(vals, r.prob), rel=1e-12)
+
+
+def exact(df, probs):
+    return R.exact_quantiles(df, ["v"], probs).collect()
+
+
 def test_quantiles_skip_missing_values(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (None, None), (10.0, 4.0)], "a double, b double")
     got = {r.feature: r.quantile for r in R.exact_quantiles(df, ["a", "b"]).collect()}
