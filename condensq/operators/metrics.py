@@ -86,11 +86,14 @@ def _totals(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 
 def _area_columns() -> dict[str, Column]:
-    """AUROC and average precision from cumulative rows; the totals are sums of the same rows."""
+    """AUROC (NULL if a class is absent) and average precision (0 without positives).
+
+    The totals are sums of the same cumulative rows.
+    """
     n_pos, n_neg = F.sum("pos"), F.sum("neg")
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return {"auroc": F.try_divide(wins, n_pos * n_neg), "auprc": F.try_divide(gain, n_pos)}
+    return {"auroc": F.try_divide(wins, n_pos * n_neg), "auprc": F.coalesce(F.try_divide(gain, n_pos), F.lit(0.0))}
 
 
 def areas(
@@ -112,27 +115,27 @@ def average_precision(df, by=(), label="class", prob="prob_pos") -> DataFrame:
 def roc_points(
     df: DataFrame, by: Sequence[str] = (), label: str = "class", prob: str = "prob_pos"
 ) -> DataFrame:
-    """False and true positive rate at every distinct score."""
+    """False and true positive rate at every distinct score; NULL where a class is absent."""
     cum = cumulative_counts(df, by, label, prob)
     tot = _totals(df, by, label)
     cum = cum.join(tot, list(by)) if by else _attach_one(cum, tot)
     return cum.select(
-        *by, F.col(prob).alias("threshold"), _safe(F.col("fp"), F.col("n_neg")).alias("fpr"),
-        _safe(F.col("tp"), F.col("n_pos")).alias("tpr"),
+        *by, F.col(prob).alias("threshold"), F.try_divide("fp", "n_neg").alias("fpr"),
+        F.try_divide("tp", "n_pos").alias("tpr"),
     )
 
 
 def pr_points(
     df: DataFrame, by: Sequence[str] = (), label: str = "class", prob: str = "prob_pos"
 ) -> DataFrame:
-    """Precision and recall at every distinct score."""
+    """Precision and recall at every distinct score; without positives the recall is one."""
     cum = cumulative_counts(df, by, label, prob)
     tot = _totals(df, by, label)
     cum = cum.join(tot, list(by)) if by else _attach_one(cum, tot)
     return cum.select(
         *by, F.col(prob).alias("threshold"),
         _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        _safe(F.col("tp"), F.col("n_pos")).alias("recall"),
+        F.coalesce(F.try_divide("tp", "n_pos"), F.lit(1.0)).alias("recall"),
     )
 
 

@@ -64,8 +64,8 @@ cum AS (
 """
 _ALL = _CUM.format(by="", part="")
 _BY = _CUM.format(by="split,", part="PARTITION BY split")
-_AUROC = "round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (max(np) * max(nn)), 9)"
-_AUPRC = "round(sum(pos * tp::DOUBLE / (tp + fp)) / max(np), 9)"
+_AUROC = "round(sum(neg * (tp - pos / 2.0::DOUBLE)) / nullif(max(np) * max(nn), 0), 9)"
+_AUPRC = "round(coalesce(sum(pos * tp::DOUBLE / (tp + fp)) / nullif(max(np), 0), 0), 9)"
 
 
 @query("auroc", SCORED + _BY + f"SELECT split, {_AUROC} AS auroc FROM cum GROUP BY split")
@@ -84,8 +84,8 @@ def areas_overall(spark, d):
 
 
 @query("roc_curve", SCORED + _BY + """
-SELECT split, prob_pos AS threshold, round(fp::DOUBLE / nn, 9) AS fpr,
-       round(tp::DOUBLE / np, 9) AS tpr FROM cum""")
+SELECT split, prob_pos AS threshold, round(fp::DOUBLE / nullif(nn, 0), 9) AS fpr,
+       round(tp::DOUBLE / nullif(np, 0), 9) AS tpr FROM cum""")
 def roc_curve(spark, d):
     return _rounded(M.roc_points(S.scored(spark, d), ["split"]), ["fpr", "tpr"])
 

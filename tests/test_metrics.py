@@ -64,6 +64,10 @@ def test_areas_match_all_pairs(scored):
 def test_one_class_has_no_area(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "class int, prob_pos double")
     assert M.auroc(df).first().auroc is None
+    assert all(r.fpr is None and r.tpr > 0 for r in M.roc_points(df).collect())
+    neg = df.withColumn("class", F.lit(0))
+    assert M.average_precision(neg).first().auprc == 0.0
+    assert {r.recall for r in M.pr_points(neg).collect()} == {1.0}
 
 
 def test_sweep_equals_single_thresholds(scored):
