@@ -210,8 +210,9 @@ def metric_table(spark, d):
 
 
 @query("impact_table", _RUNS + """, l AS (
-  UNPIVOT (SELECT run, split, auroc, auprc, f1_macro, f1_pos, f1_neg, brier FROM mt)
-  ON auroc, auprc, f1_macro, f1_pos, f1_neg, brier INTO NAME metric VALUE v)
+  SELECT run, split, metric, v
+  FROM (SELECT run, split, auroc, auprc, f1_macro, f1_pos, f1_neg, brier FROM mt)
+  UNPIVOT INCLUDE NULLS (v FOR metric IN (auroc, auprc, f1_macro, f1_pos, f1_neg, brier)))
 SELECT b.split, b.metric, b.v AS before, a.v AS after, round(a.v - b.v, 6) AS delta
 FROM (SELECT * FROM l WHERE run = 'stored') b FULL JOIN (SELECT * FROM l WHERE run = 'flat') a
   USING (split, metric)""")
