@@ -89,7 +89,7 @@ FEATURE_CATEGORIES = {
     ],
     "Protein-static": ["n_residues"],
     "Protein-IDR": ["idr_percent"],
-    "Protein-flag": ["has_bioemu"],
+    "Protein-flag": ["has_dynamic"],
     "Protein-dynamic": [
         "rmsf_mean", "rmsf_std", "rmsf_max", "rmsf_nterm50", "rmsf_cterm50", "rg_mean",
         "rg_std", "rg_cv", "contact_density", "packing_density", "sasa_per_residue", "pass_rate",

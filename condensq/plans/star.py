@@ -164,7 +164,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order = transcript, line = exon, customer = gene."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     start = (F.col("l_linenumber") - 1) * 400 + F.col("l_partkey") % 300 + 1
     return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"),
