@@ -36,7 +36,7 @@ class ToxicitySettings:
     min_z: float = 6.0  # nor does one whose rates among toxic and other rows differ by fewer errors
     penalty: float = 0.1  # of the squared weights
     steps: int = 200
-    reject_at: float = 0.3  # probability of any toxic grade from which a text is rejected
+    reject_at: float = 0.2  # probability of any toxic grade from which a text is rejected
 
 
 @dataclass(frozen=True)
