@@ -58,7 +58,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """`encode(text)` gives the ids as little-endian unsigned 32-bit integers in one bytes object."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cache_size: int = 400_000):
+    def __init__(self, vocabulary: str = VOCABULARY, cache_size: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -77,8 +77,12 @@ class Encoder:
 
     def _fresh(self, part: str) -> bytes:
         """Ids of a part that follows a space."""
-        if part.isalpha() and max(part) < _SETTLED:
-            return self._ids([" " + part])
+        if part.isalpha():
+            if part.isascii():
+                packed = self.packed
+                return b"".join([packed[t.id] for t in self.model.tokenize("Ġ" + part)])
+            if max(part) < _SETTLED:
+                return self._ids([" " + part])
         if len(part) > 1 and part[-1] in ",." and part[-2].isalpha() and part[-2] < _SETTLED:
             return self._known(part[:-1]) + self._ids([part[-1]])
         return self._ids(_PIECE.findall(" " + part))

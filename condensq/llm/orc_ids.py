@@ -30,7 +30,7 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
