@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared checkpoint folder and read back: later steps read it, whatever
     executors are lost, and its columns are compressed."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

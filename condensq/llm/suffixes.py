@@ -19,7 +19,6 @@ Digests of 64 bits stand for words sequences.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from condensq.llm.common import WORD, rows_of, slices, stored
+from condensq.llm.common import rows_of, slices, stored
 
-_WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +45,15 @@ def word_digests(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 code point of each word."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    inside = np.concatenate([[False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
+    return points[edges[::2]], points[edges[1::2]]
+
+
 def run_digests(words: np.ndarray, n: int) -> np.ndarray:
     """Digest of each run of `n` words: a polynomial of their digests, by doubling."""
     if len(words) < n:
@@ -174,11 +181,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 5, window: int
             out: list[list] = [[] for _ in range(7)]
             for i, (text, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "found")))):
                 found = sorted(((f["at"], f["first_doc"]) for f in found), key=lambda f: f[0])
-                places = [m.span() for m in _WORD.finditer(text)]
+                first_at, last_at = (x.tolist() for x in word_places(text))
                 start, stop, first = None, None, None
-                for at, doc in [*found, (len(places) + 2 * length, None)]:
+                for at, doc in [*found, (len(first_at) + 2 * length, None)]:
                     if start is not None and at > stop:
-                        for column, value in zip(out, (i, start, stop, places[start][0], places[stop - 1][1], first)):
+                        for column, value in zip(out, (i, start, stop, first_at[start], last_at[stop - 1], first)):
                             column.append(value)
                         start = None
                     if start is None:
