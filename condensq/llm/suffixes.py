@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -178,23 +179,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 5, window: int
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
-            for i, (text, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "found")))):
-                found = sorted(((f["at"], f["first_doc"]) for f in found), key=lambda f: f[0])
-                first_at, last_at = (x.tolist() for x in word_places(text))
-                start, stop, first = None, None, None
-                for at, doc in [*found, (len(first_at) + 2 * length, None)]:
-                    if start is not None and at > stop:
-                        for column, value in zip(out, (i, start, stop, first_at[start], last_at[stop - 1], first)):
-                            column.append(value)
-                        start = None
-                    if start is None:
-                        start, first = at, doc
-                    stop = at + length
-                    first = doc if first is None else first if doc is None else min(first, doc)
-            own = batch.column("doc_id")
+            own, found = batch.column("doc_id"), batch.column("found")
+            ends, places = found.offsets.to_numpy(), found.values.field("at").to_numpy()
+            firsts = found.values.field("first_doc")
+            ids, columns, least = [], [[] for _ in range(4)], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                order = ends[i] + np.argsort(places[ends[i] : ends[i + 1]], kind="stable")
+                at = places[order].astype(np.int64)
+                last = np.flatnonzero(np.diff(at, append=np.iinfo(np.int64).max) > length)
+                first = np.concatenate([[0], last[:-1] + 1])
+                first_at, last_at = word_places(text)
+                start, stop = at[first], at[last] + length
+                for column, value in zip(columns, (start, stop, first_at[start], last_at[stop - 1])):
+                    column.append(value)
+                ids.append(np.full(len(first), i))
+                least += [pc.min(firsts.take(pa.array(order[a : b + 1]))).as_py() for a, b in zip(first, last)]
             yield pa.record_batch(
-                [own.take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], own.type)],
+                [own.take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c).astype(np.int64)) for c in columns),
+                 pa.array(least, own.type)],
                 ["doc_id", "start", "stop", "start_char", "stop_char", "first_doc"],
             )
 
