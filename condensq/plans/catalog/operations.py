@@ -16,7 +16,7 @@ from condensq.plans.catalog.learning import request_bundle
 from condensq.plans.star import STAR_SQL
 from condensq.session import checkpoint_dir
 from condensq.sources.records import parse_fold_lines
-from condensq.streaming.metrics import stream_request_metrics
+from condensq.streaming.metrics import latest_windows, stream_request_metrics, write_updates
 from condensq.streaming.scoring import stream_scores, write_stream
 
 
@@ -278,10 +278,20 @@ def _run(spark, df):
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-@query("streaming_metrics")
+@query("streaming_metrics", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n,
+       round(avg(value), 6) AS mean_latency
+FROM events GROUP BY 1, 2""")
 def streaming_metrics(spark, d):
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(spark, stream_request_metrics(events, "1 hour"))
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    write_updates(
+        stream_request_metrics(events, "1 hour"), f"{base}/out", f"{base}/state"
+    ).awaitTermination()
+    return latest_windows(spark, f"{base}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n",
+        F.round("mean_latency", 6).alias("mean_latency"),
+    )
 
 
 @query("streaming_scores")
@@ -290,7 +300,6 @@ def streaming_scores(spark, d):
     seq = F.regexp_replace(F.upper("text"), "[^ACGTU]+", "")
     req = docs.select(
         F.col("doc_id").cast("string").alias("request_id"),
-        F.timestamp_seconds(F.col("doc_id")).alias("ts"),
         S.locus(F.col("doc_id")).alias("gene_id"), seq.alias("mrna_seq"),
         F.lit(None).cast("string").alias("protein_seq"),
     )

@@ -9,10 +9,17 @@ from condensq.operators.models import Bundle, score_batch
 
 
 def stream_scores(
-    stream: DataFrame, bundle: Bundle, delay: str = "10 minutes", explain: bool = True
+    stream: DataFrame, bundle: Bundle, delay: str | None = None, explain: bool = True
 ) -> DataFrame:
-    """Scored rows of a request stream; a request id counts once within the delay."""
-    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+    """Scored rows of a request stream; a request id counts once.
+
+    Without `delay` ids are kept for good, and no request is lost whatever its time or order. With
+    it ids are kept that long after their `ts`, and rows later than that are dropped.
+    """
+    if delay:
+        once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+    else:
+        once = stream.dropDuplicates(["request_id"])
     return score_batch(once, bundle, explain)
 
 

@@ -8,7 +8,7 @@ from condensq.operators import registry as G
 from condensq.operators.models import Bundle, fit_forest, impute
 from condensq.schemas import SCORE_REQUEST, TASK_STATE
 from condensq.session import cut_lineage, fits, spread
-from condensq.streaming.metrics import stream_request_metrics
+from condensq.streaming.metrics import latest_windows, stream_request_metrics, write_updates
 from condensq.streaming.scoring import stream_scores, write_stream
 
 
@@ -124,11 +124,11 @@ def test_stream_metrics_equal_the_batch(spark, tmp_path, rows):
         (F.col("id") % 17).cast("double").alias("value"))
     src = str(tmp_path / "in")
     ev.repartition(4).write.parquet(src)
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    out = stream_request_metrics(stream, "1 minute", "0 seconds")
-    write_stream(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    batch = M.request_metrics(ev, "1 minute").where(F.col("window_end") <= F.lit("2024-01-01 00:19:57"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_request_metrics(stream, "1 minute")
+    write_updates(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = latest_windows(spark, str(tmp_path / "out"))
+    batch = M.request_metrics(ev, "1 minute")
     cols = ("window_start", "event_type", "n", "mean_latency")
     assert rows(got, *cols) == rows(batch, *cols) and got.count() > 30
 
@@ -151,6 +151,24 @@ def test_stream_scores_count_a_request_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_scores_lose_no_request_in_any_order(spark, tmp_path):
+    cols = ["mrna_length", "au_content"]
+    train = spark.createDataFrame([(float(50 + i), i / 40, i % 2) for i in range(40)],
+                                  "mrna_length double, au_content double, class int")
+    bundle = Bundle(fit_forest(impute(train, {}), cols, params=Settings().forest.__class__(trees=3, max_depth=2)),
+                    cols, dict.fromkeys(cols, 0.0))
+    req = spark.range(400).select(
+        F.col("id").cast("string").alias("request_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        F.lit("g").alias("gene_id"), F.repeat(F.lit("AU"), 40).alias("mrna_seq"),
+        F.lit(None).cast("string").alias("protein_seq"))
+    src = str(tmp_path / "in")
+    for start in (300, 200, 100, 0):  # latest first
+        req.where((F.col("request_id").cast("int") >= start) & (F.col("request_id").cast("int") < start + 100)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(SCORE_REQUEST).option("maxFilesPerTrigger", 1).parquet(src)
+    write_stream(stream_scores(stream, bundle, explain=False), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).select("request_id").distinct().count() == 400
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([("a", 5.0), ("a", 10.0), ("a", 70.0)], "event_type string, value double")
     r = M.latency_histogram(df, [5, 10, 50]).first()
