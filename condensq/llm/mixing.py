@@ -137,7 +137,7 @@ def allocate(
     for i, r in enumerate(totals):
         rounds, rest = divmod(flow.get(i, 0), r["words"]) if r["words"] else (0, 0)
         size, quota = sum(sizes[s] for s in members[i]), sum(target.get(s, 0) for s in members[i])
-        plan.append((r["pattern"], i, rounds, rest, size, float(quota), buckets_for(r["n"], 20_000)))
+        plan.append((r["pattern"], i, rounds, rest, size, float(quota), buckets_for(r["n"], 2_000)))
     plans = docs.sparkSession.createDataFrame(
         plan, "_p array<string>, _i int, _rounds long, _rest long, source_size long, target double, _parts int"
     )
