@@ -175,10 +175,13 @@ def deleted_lines(docs: DataFrame, min_words: int = 5, min_block_words: int = 8)
 def dedup_lines(docs: DataFrame, min_words: int = 5, min_block_words: int = 8) -> DataFrame:
     """All columns of `docs`, `text` without its deleted blocks, and `n_lines`, `n_deleted`.
 
-    Lines that stay are joined by line feeds as before.
+    Lines that stay are joined by line feeds as before. Columns of these two names are replaced; all
+    others travel in one struct, so no name clashes.
     """
-    numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    ranges = deleted_lines(numbered.select("row", "doc_id", "text"), min_words, min_block_words)
+    row = F.xxhash64("doc_id", "text").alias("row")
+    ranges = deleted_lines(docs.select(row, "doc_id", "text"), min_words, min_block_words)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    numbered = docs.select(others.alias("_others"), "text", row)
     cuts = ranges.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("from", "to")).alias("_cuts"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     joined = numbered.join(cuts, F.col("row") == F.col("_row"), "left").drop("_row")
@@ -196,7 +199,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, min_block_words: int = 8) -
     kept = F.array_join(F.transform("_keep", lambda i: F.get(F.col("_lines"), i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     return at.select(
-        *(F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in columns),
+        *(
+            F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept).alias(c)
+            if c == "text" else F.col("_others").getField(c).alias(c)
+            for c in columns
+        ),
         n.alias("n_lines"),
         F.when(F.col("_keep").isNull(), 0).otherwise(n - F.size("_keep")).alias("n_deleted"),
     )

@@ -168,6 +168,9 @@ def mixed(
     """
     taken = allocate(docs, weights, max_repeats, seed).groupBy("key").agg(F.sum("times").alias("_times"))
     taken = taken.filter("_times > 0").select(F.col("key").alias("_key"), "_times")
-    keyed = docs.withColumn("_own", F.xxhash64("doc_id", "text", F.lit(seed)))
+    keyed = docs.select(  # one struct, so no name of theirs clashes
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
+        F.xxhash64("doc_id", "text", F.lit(seed)).alias("_own"),
+    )
     one = keyed.join(taken, F.col("_own") == F.col("_key")).dropDuplicates(["_own"])
-    return one.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return one.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

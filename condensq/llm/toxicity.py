@@ -164,9 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxicit
     rows = labels.select("doc_id", target).dropna().groupBy("doc_id").agg(F.max(target).alias(target))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `fit_rows` rows at most
+    # Rows that repeat an id meet here, so the fitting task has a text for each id of the sample.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(target).alias(target))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _fit_sample(pdf.drop_duplicates("doc_id"), settings)
+        model = _fit_sample(pdf, settings)
         if model is None:
             return pd.DataFrame({"weights": [], "thresholds": []})
         return pd.DataFrame({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
@@ -178,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxicit
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
-    """All columns of `docs` with `expected_severity`, `p_toxic` and `rejected`, row by row."""
+    """All columns of `docs` with `expected_severity`, `p_toxic` and `rejected`, row by row; columns
+    of these names are replaced."""
     spark: SparkSession = docs.sparkSession
     names = ["expected_severity", "p_toxic", "rejected"]
     docs = docs.drop(*names)

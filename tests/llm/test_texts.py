@@ -40,7 +40,7 @@ def test_toxic_words_raise_severity_and_clean_texts_stay(spark, empty):
     rows = [(i, text(k), f"x{i}", "y") for i, k in enumerate(counts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rejected string, grade string")
     labels = spark.createDataFrame([(i, int(k > 0)) for i, k in enumerate(counts) if i % 3], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels.union(labels.limit(5)))
+    model = toxicity.fit(docs.union(docs.limit(50)), labels.union(labels.limit(5)))
     assert (np.diff(model.thresholds) > 0).all()
     found = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held_out = [i for i in range(900) if i % 3 == 0]
@@ -139,6 +139,7 @@ def test_line_dedup_loses_no_content(docs, empty, corpus_rows):
         before |= {x for x in old if x.strip()}
         after |= set(new)
         order.setdefault(r["doc_id"], r)
+        assert r["row"] == r["key"] == f"x{r['doc_id']}"  # columns of clashing names stay as they are
     assert before <= after  # each line is still in some document
     first = {}
     for i, t in sorted((i, t) for i, t in texts.items() if t and len(WORD.findall(t)) >= 8):
@@ -291,9 +292,12 @@ def test_mix_comes_near_its_targets(docs, empty, corpus_rows, spark):
     times = {}
     for r in mixing.mixed(docs).collect():
         times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+        assert r["key"] == r["size"] == f"x{r['doc_id']}"
     for i in size:
         assert times.get(i, 0) * size[i] == sum(r["taken"] for r in rows if r["doc_id"] == i)
     assert mixing.allocate(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    inner = docs.selectExpr("doc_id", "text", "source", "1 AS _own", "2 AS _key", "3 AS _times", "4 AS _n")
+    assert {tuple(r)[3:] for r in mixing.mixed(inner).collect()} == {(1, 2, 3, 4)}
     both = docs.selectExpr("doc_id", "text", "array(source, 'all') AS sources")
     assert mixing.allocate(both, {"all": 1.0}).count() == len(corpus_rows)
 
