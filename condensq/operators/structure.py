@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,13 +137,16 @@ def proximity_pairs(points: DataFrame, cutoff: float) -> DataFrame:
     )
 
 
-def _neighbours(points: DataFrame, cutoff: float, name: str, per: str, convention: str) -> DataFrame:
+def _neighbours(
+    points: DataFrame, cutoff: float, name: str, per: str | Column, convention: str
+) -> DataFrame:
     """Neighbours per unit and frame: both ends of a pair count, or one with `pairs`."""
     units = points.groupBy(*FRAME).agg(F.count_distinct(per).alias("_units"))
     pairs = proximity_pairs(points, cutoff).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_pairs"))
     ends = 2 if convention == "neighbours" else 1
     return units.join(pairs, FRAME, "left").select(
-        *FRAME, (F.coalesce("_pairs", F.lit(0)) * ends / F.col("_units")).alias(name)
+        *FRAME,
+        F.coalesce(F.try_divide(F.coalesce("_pairs", F.lit(0)) * ends, "_units"), F.lit(0.0)).alias(name),
     )
 
 
@@ -158,9 +161,10 @@ def contact_density(
 def packing_density(
     atoms: DataFrame, cutoff: float = PACKING_CUTOFF, convention: str = "neighbours"
 ) -> DataFrame:
-    """Mean number of heavy-atom neighbours: per atom, or pairs per residue."""
+    """Mean number of heavy-atom neighbours: per atom, or pairs per residue with a backbone atom."""
     heavy = atoms.where("NOT startswith(atom_name, 'H')")
-    per = "atom_id" if convention == "neighbours" else "res_id"
+    residue = F.when(F.col("atom_name") == "CA", F.col("res_id"))
+    per = "atom_id" if convention == "neighbours" else residue
     return _neighbours(heavy, cutoff, "packing_density", per, convention)
 
 

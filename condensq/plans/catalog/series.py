@@ -136,12 +136,14 @@ def proximity_pairs(spark, d):
     ON a.structure = b.structure AND a.frame = b.frame AND a.atom_id < b.atom_id
    AND a.atom_name = 'CA' AND b.atom_name = 'CA'
   WHERE (a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2 < 64 GROUP BY 1, 2)
-SELECT u.structure, 7.0::DOUBLE AS n_residues, round(rg, 6) AS rg_mean, 0.0::DOUBLE AS rg_std,
-       round(coalesce(ca.n, 0) / 7.0::DOUBLE, 6) AS contact_density,
-       round(coalesce(hp.n_pairs, 0) / 7.0::DOUBLE, 6) AS packing_density,
-       3.0::DOUBLE AS sasa_per_residue, 'static' AS feature_source
-FROM units u JOIN rg USING (structure, frame) LEFT JOIN hp USING (structure, frame)
-LEFT JOIN ca USING (structure, frame)""")
+SELECT u.structure, nc.n::DOUBLE AS n_residues, round(rg, 6) AS rg_mean, 0.0::DOUBLE AS rg_std,
+       round(coalesce(ca.n, 0) / nc.n::DOUBLE, 6) AS contact_density,
+       round(coalesce(hp.n_pairs, 0) / nc.n::DOUBLE, 6) AS packing_density,
+       u.n_units / nc.n::DOUBLE AS sasa_per_residue, 'static' AS feature_source
+FROM units u JOIN rg USING (structure, frame)
+JOIN (SELECT structure, frame, count(DISTINCT res_id) AS n FROM atoms WHERE atom_name = 'CA'
+      GROUP BY 1, 2) nc USING (structure, frame)
+LEFT JOIN hp USING (structure, frame) LEFT JOIN ca USING (structure, frame)""")
 def static_features(spark, d):
     out = J.static_features(S.atoms(spark, d), min_residues=5)
     return out.select("structure", "n_residues", F.round("rg_mean", 6).alias("rg_mean"), "rg_std",

@@ -219,13 +219,15 @@ def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding = frame of 7 residues with 3 atoms each; label = structure."""
+    """Embedding = frame of atoms, three numbers each, the last ones padded with 0, and three atoms
+    to a residue; label = structure."""
     e = table(spark, sf_dir, "embeddings")
-    i = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")
+    last = F.ceil(F.size("embedding") / 3).cast("int") - 1
+    i = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i")
     flat = e.select("label", "vec_id", "embedding", i)
     xyz = [
-        (F.element_at("embedding", F.col("i") * 3 + j).cast("double") * 40).alias(a)
-        for j, a in ((1, "x"), (2, "y"), (3, "z"))
+        (F.coalesce(F.get("embedding", F.col("i") * 3 + j).cast("double"), F.lit(0.0)) * 40).alias(a)
+        for j, a in enumerate("xyz")
     ]
     names = F.array(F.lit("N"), F.lit("CA"), F.lit("C"))
     return flat.select(
@@ -403,9 +405,10 @@ ATOMS_SQL = """
 atoms AS (
   SELECT label::VARCHAR AS structure, vec_id AS frame, i + 1 AS atom_id, i // 3 + 1 AS res_id,
          ['N', 'CA', 'C'][(i % 3 + 1)::INTEGER] AS atom_name, 12.0::DOUBLE + i % 3 AS mass,
-         embedding[i * 3 + 1]::DOUBLE * 40 AS x, embedding[i * 3 + 2]::DOUBLE * 40 AS y,
-         embedding[i * 3 + 3]::DOUBLE * 40 AS z
-  FROM embeddings, range(0, 21) AS r(i)
+         coalesce(embedding[i * 3 + 1]::DOUBLE, 0) * 40 AS x,
+         coalesce(embedding[i * 3 + 2]::DOUBLE, 0) * 40 AS y,
+         coalesce(embedding[i * 3 + 3]::DOUBLE, 0) * 40 AS z
+  FROM (SELECT label, vec_id, embedding, unnest(range(0, (len(embedding) + 2) // 3)) AS i FROM embeddings)
 )"""
 
 

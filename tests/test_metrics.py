@@ -150,6 +150,12 @@ def test_split_sizes_per_class(clustered):
     assert (-1, "test") not in n and (-1, "val") not in n
 
 
+def test_split_keeps_rows_without_or_with_repeated_keys(spark):
+    rows = [(None, 0, "a"), (None, 0, "b"), ("x", 0, "c"), ("x", 0, "d"), ("y", None, "e"), ("z", 1, "f")]
+    out = K.random_split(spark.createDataFrame(rows, "k string, class int, v string"), "k", "class")
+    assert sorted(r.v for r in out.collect()) == ["a", "b", "c", "d", "e", "f"]
+
+
 def test_folds_are_even_and_stratified(clustered):
     out = K.kfold(clustered, "k", "class")
     for c in (0, 1):
