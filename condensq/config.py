@@ -32,7 +32,7 @@ class SplitSettings:
 @dataclass(frozen=True)
 class ForestSettings:
     trees: int = 500
-    max_depth: int = 15
+    max_depth: int = 30  # as deep as Spark grows a tree
     min_leaf: int = 2
     feature_subset: str = "sqrt"
     seed: int = 42

@@ -16,26 +16,27 @@ from condensq.functions.keys import seeded_digest
 
 
 def _cut_count(df: DataFrame) -> int:
-    return max(2, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _with_cuts(df: DataFrame, value: Column, buckets: int | None) -> DataFrame:
-    """Approximate quantiles of `value` as one array column, a scalar subquery read once."""
+    """`_cuts`: approximate quantiles of `value`, rising, a scalar subquery read once; `_below`: how
+    many of them lie below the value, by binary search (0 for null)."""
     n = buckets or _cut_count(df)
-    steps = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(value, steps, 10_000).alias("cuts")).scalar()
-    return df.withColumn("_cuts", cuts)
-
-
-def _cuts_below(value: Column) -> Column:
-    return F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))
+    shares = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 10 * n)).alias("cuts")).scalar()
+    below = F.aggregate(
+        F.lit([1 << k for k in reversed(range(n.bit_length()))]), F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) < value, at + step).otherwise(at),
+    )
+    return df.withColumn("_cuts", cuts).withColumn("_below", below)
 
 
 def with_range_bucket(
     df: DataFrame, value: Column, buckets: int | None = None, name: str = "_range"
 ) -> DataFrame:
     """Add a bucket number rising with `value`."""
-    return _with_cuts(df, value, buckets).withColumn(name, _cuts_below(value)).drop("_cuts")
+    return _with_cuts(df, value, buckets).withColumn(name, F.col("_below")).drop("_cuts", "_below")
 
 
 def with_tied_bucket(
@@ -46,12 +47,12 @@ def with_tied_bucket(
     A value that holds many rows is itself a cut point; its rows get buckets of their own, split
     by the digest that also breaks the ties, so no value can fill a task.
     """
-    is_cut = F.coalesce(F.array_contains(F.col("_cuts"), value), F.lit(False))
+    is_cut = F.coalesce(F.get("_cuts", F.col("_below")) == value, F.lit(False))
     digest = F.when(is_cut, F.substring(F.md5(key.cast("string")), 1, 2)).otherwise(F.lit(""))
     bucket = F.struct(
-        _cuts_below(value).alias("b"), is_cut.cast("int").alias("t"), digest.alias("d")
+        F.col("_below").alias("b"), is_cut.cast("int").alias("t"), digest.alias("d")
     )
-    return _with_cuts(df, value, buckets).withColumn(name, bucket).drop("_cuts")
+    return _with_cuts(df, value, buckets).withColumn(name, bucket).drop("_cuts", "_below")
 
 
 def digest_bucket(digest: Column, digits: int = 3) -> Column:

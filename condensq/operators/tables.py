@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from condensq.operators.ranking import first_per_key
 from condensq.schemas import DYNAMIC_FEATURES, META_COLUMNS
-from condensq.session import broadcast_if_small
 
 _ALIASES = {"geneID": "gene_id", "pred_class": "pred", "txID": "transcript_id"}
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "long", "integer")
@@ -101,8 +100,8 @@ def keep_common(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def map_values(
     df: DataFrame, mapping: DataFrame, key: str, value: str, default=None
 ) -> DataFrame:
-    """Dictionary-style lookup; the mapping is broadcast only after its size was checked."""
-    out = df.join(broadcast_if_small(mapping.select(key, value)), key, "left")
+    """Dictionary-style lookup; Spark's size threshold decides on a broadcast of the mapping."""
+    out = df.join(mapping.select(key, value), key, "left")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 

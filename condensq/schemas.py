@@ -51,25 +51,27 @@ META_COLUMNS = [
 ATTRIBUTION_FEATURES = [
     "mrna_length", "cds_length", "di_CG", "utr3_au_content", "rrach_per_kb", "rmsf_nterm50",
 ]
+# The feature columns of the store, in store order.
+STAR_FEATURES = [
+    "mrna_length", "cds_length", "utr3_length", "utr5_length", "utr3_au_content",
+    "rrach_count", "rrach_per_kb", "di_CG", "di_UA", "di_UG", "mfe", "mfe_per_nt",
+    "au_content", "gc_content", "frac_paired", "n_stemloops_per_kb", "utr3_fraction",
+    "utr5_fraction", "cds_fraction", "long_3utr", "ptc_proxy",
+    "idr_percent", "rmsf_mean", "rmsf_nterm50", "rmsf_cterm50", "rmsf_std", "rmsf_max",
+    "rg_mean", "rg_std", "rg_cv", "packing_density", "sasa_per_residue", "contact_density",
+    "pass_rate", "n_residues", "mean_disorder", "max_disorder_window", "n_idr_regions",
+    "longest_idr_region",
+    "rmsf_nterm_cterm_ratio", "utr3_au_x_length", "packing_x_idr", "rrach_per_cds_kb",
+]
+INT_FEATURES = ["long_3utr", "ptc_proxy"]
 # Fixed values end.
 
 DYNAMIC_FEATURES = [
     c for c in PROTEIN_FEATURES if c.startswith(("rmsf_", "rg_")) or c == "pass_rate"
 ]
-STAR_FEATURES = (
-    [c for c in RNA_FEATURES
-     if c in ("mrna_length", "cds_length", "utr3_length", "utr5_length", "utr3_au_content",
-              "rrach_count", "rrach_per_kb", "di_CG", "di_UA", "di_UG", "mfe", "mfe_per_nt",
-              "au_content", "gc_content", "frac_paired", "n_stemloops_per_kb", "utr3_fraction",
-              "utr5_fraction", "cds_fraction", "long_3utr", "ptc_proxy")]
-    + PROTEIN_FEATURES
-    + ENGINEERED_FEATURES
-)
-
-_INT_FEATURES = {"long_3utr", "ptc_proxy"}
 FEATURES = _struct(
     "gene_id string, "
-    + ", ".join(f"{c} {'int' if c in _INT_FEATURES else 'double'}" for c in STAR_FEATURES)
+    + ", ".join(f"{c} {'int' if c in INT_FEATURES else 'double'}" for c in STAR_FEATURES)
 )
 PREDICTIONS = _struct(
     "gene_id string, prob_pos double, pred int, "

@@ -1,11 +1,10 @@
-"""Session defaults, checkpointing and size-checked broadcasting."""
+"""Session defaults, checkpointing and size checks."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -48,11 +47,6 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a row count; beyond the bound Catalyst picks a shuffled join."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition by key if the scan has too few partitions to keep the executors busy.
 
