@@ -197,6 +197,26 @@ def test_clusters_equal_brute_force(spark):
     assert got == brute_components(texts, 2, 0.6)
 
 
+def test_clusters_hold_every_link_at_the_threshold(spark):
+    rng = random.Random(9)
+    texts = {}
+    for g in range(60):  # pairs at exactly 0.5: 30 words of 40 common, no shared neighbour
+        common = [f"g{g}w{i}" for i in range(30)]
+        texts[2 * g] = " ".join([*common, *(f"g{g}a{i}" for i in range(15))])
+        texts[2 * g + 1] = " ".join([*common, *(f"g{g}b{i}" for i in range(15))])
+    # Members that are linked with each other and not with the smallest id, over one common passage.
+    passage = [f"p{i}" for i in range(12)]
+    for g in range(30):
+        words = [*passage, *(f"h{g}w{i}" for i in range(rng.randrange(4, 16)))]
+        for j in range(3):
+            texts[1000 + 3 * g + j] = " ".join(words[: len(words) - j])
+    df = spark.createDataFrame(list(texts.items()), "id long, t string").repartition(4)
+    got = {r.id: r.cluster_id for r in M.similarity_clusters(df, "id", "t", k=1, threshold=0.5, unit="words").collect()}
+    assert got == brute_components(texts, 1, 0.5)
+    got = {r.id: r.cluster_id for r in M.similarity_clusters(df, "id", "t", k=1, threshold=0.8, unit="words").collect()}
+    assert got == brute_components(texts, 1, 0.8)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)]
     df = spark.createDataFrame(edges, "src long, dst long")
