@@ -49,8 +49,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def common_items(sets: DataFrame, most: int = 200_000) -> np.ndarray:
     """Items that many sets hold, rarest first: an estimate from one set in 16. It only orders the
     items of a set, so it decides what a join costs and not what it finds."""
-    part = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("items").alias("h"))
-    counts = part.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c >= 8")
+    part = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)
+    # A plain explode infers a filter on `items`, which would cut each text again for every run.
+    part = part.select(F.explode_outer("items").alias("h"))
+    counts = part.groupBy("h").agg(F.count("h").alias("c")).where("c >= 8")
     found = counts.orderBy(F.desc("c"), "h").limit(most).select("h").collect()
     return np.array([r["h"] for r in reversed(found)], np.int64)
 
@@ -151,7 +153,13 @@ def alike_links(
     pairs = apart.join(placed.select("item", F.col("class").alias("ca"), F.col("me").alias("p")), ["item", "ca"])
     pairs = pairs.join(placed.select("item", F.col("class").alias("cb"), F.col("me").alias("q")), ["item", "cb"])
     pairs = pairs.where(_possible("p", "q", threshold))
-    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    # All common items of two prefixes are counted here; beyond them one set has only its rest.
+    pairs = pairs.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first("p.n").alias("na"), F.first("q.n").alias("nb")
+    )
+    rest = F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
+    enough = F.col("c") + rest >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = pairs.where(enough).select("a", "b")
     return links.unionByName(alike(pairs))
 
 
