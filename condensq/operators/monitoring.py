@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensq.operators.aggregates import summarise_columns
 from condensq.operators.metrics import metric_table
 from condensq.operators.models import fit_medians, impute, score
+from condensq.operators.ranking import running_totals
 
 
 def _bounds(long: DataFrame) -> DataFrame:
@@ -138,3 +139,124 @@ def latency_histogram(
         *[F.count_if(F.col(latency) <= e).alias(f"le_{e:g}") for e in edges],
         F.count(F.lit(1)).alias("n"), F.sum(latency).alias("total"),
     )
+
+
+# Requests in flight ---------------------------------------------------------------------------
+
+def _grid(spans: DataFrame, by: Sequence[str], block: int) -> DataFrame:
+    """Every tick from `first` to `last` of each group, made block by block."""
+    blocks = F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))
+    inside = F.sequence(
+        F.greatest("first", F.col("_block") * block),
+        F.least("last", F.col("_block") * block + block - 1),
+    )
+    return spans.withColumn("_block", F.explode(blocks)).select(*by, F.explode(inside).alias("k"))
+
+
+def in_flight(
+    requests: DataFrame, tick: int = 15, by: Sequence[str] = ("event_type",), start: str = "start",
+    end: str = "end", block: int = 4096,
+) -> DataFrame:
+    """(by, tick, n_in_flight, peak): requests under way at each `tick` seconds of the epoch, and the
+    most at once since the tick before (after its own instant).
+
+    A sweep line: a request counts from its start, up to but not at its end, so it adds 1 at one
+    moment and takes 1 away at another. Changes are summed by moment, then by tick, and carried on
+    through blocks of ticks; pairs of requests and ticks never meet. Requests without a start or
+    with no length are left out, those without an end stay open. Groups have ticks from their first
+    change to their last.
+    """
+    by = list(by)
+    begun, over = F.col(start).cast("timestamp"), F.col(end).cast("timestamp")
+    moments = F.array(
+        F.struct(F.unix_micros(begun).alias("at"), F.lit(1).alias("d")),
+        F.struct(F.unix_micros(over).alias("at"), F.lit(-1).alias("d")),
+    )
+    real = requests.where(begun.isNotNull() & (over.isNull() | (over > begun)))
+    changes = real.select(*by, F.explode(moments).alias("m")).where("m.at IS NOT NULL")
+    changes = changes.groupBy(*by, F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
+    # The tick at which a change is seen first. A tick has one row a microsecond at most.
+    seen = -F.floor(-F.col("at") / (tick * 1_000_000))
+    w = Window.partitionBy(*by, "k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    changes = changes.withColumn("k", seen.cast("long")).withColumn("_sum", F.sum("d").over(w))
+    ticks = changes.groupBy(*by, "k").agg(F.sum("d").alias("d"), F.max("_sum").alias("top"))
+    spans = ticks.groupBy(*by).agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}"))
+    full = _grid(spans, by, block).alias("g").join(
+        ticks.alias("t"), same & (F.col("g.k") == F.col("t.k")), "left"
+    ).select(*[f"g.{c}" for c in by], "g.k", F.coalesce("t.d", F.lit(0)).alias("d"), "t.top")
+    total = running_totals(full, {"n": F.col("d")}, [F.col("k")], F.floor(F.col("k") / block), by)
+    before = F.col("n") - F.col("d")
+    return total.select(
+        *by, F.timestamp_seconds(F.col("k") * tick).alias("tick"), F.col("n").alias("n_in_flight"),
+        F.greatest(before, before + F.coalesce("top", F.lit(0))).alias("peak"),
+    )
+
+
+# Mergeable latency quantiles ------------------------------------------------------------------
+
+def rank_error(k: int) -> float:
+    """Rank error of a KLL sketch with parameter k, at 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def latency_sketches(
+    events: DataFrame, width: str = "15 seconds", ts: str = "ts", kind: str = "event_type",
+    latency: str = "value", k: int = 4096,
+) -> DataFrame:
+    """(window_start, window_end, kind, n, total, sketch) per window and handler; batch or stream.
+
+    The sketch (KLL) keeps what quantiles need: it is exact up to about `k` values and later off by
+    `rank_error(k)` of the rank at most, whatever the number of rows, and sketches merge.
+    """
+    value = F.col(latency).cast("double")
+    return (
+        events.groupBy(F.window(ts, width).alias("w"), kind)
+        .agg(
+            F.count(value).alias("n"), F.sum(value).alias("total"),
+            F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"),
+        )
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), kind,
+                "n", "total", "sketch")
+    )
+
+
+def merge_sketches(
+    sketches: DataFrame, width: str, by: Sequence[str] = ("event_type",), k: int = 4096
+) -> DataFrame:
+    """The same for wider windows (hours from minutes, days from hours), from sketches alone. With
+    fewer columns in `by` than before, handlers merge as well."""
+    return (
+        sketches.groupBy(F.window("window_start", width).alias("w"), *by)
+        .agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"),
+            F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"),
+        )
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
+                "n", "total", "sketch")
+    )
+
+
+def sketch_quantiles(
+    sketches: DataFrame, probs: Sequence[float] = (0.5, 0.95, 0.99), keep: Sequence[str] = ()
+) -> DataFrame:
+    """Quantiles of each sketch as columns p50, p95, ...; null where it holds no value."""
+
+    def at(p: float):
+        return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+
+    names = list(keep) or [c for c in sketches.columns if c not in ("sketch", "total")]
+    return sketches.select(
+        *names, (F.col("total") / F.col("n")).alias("mean_latency"),
+        *[at(p).alias(f"p{100 * p:g}".replace(".", "_")) for p in probs],
+    )
+
+
+def share_at_most(sketches: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """Share of values up to each limit, from the sketch: the rank of a service-level bound."""
+    return sketches.select(
+        *[c for c in sketches.columns if c != "sketch"],
+        *[F.kll_sketch_get_rank_double("sketch", F.lit(float(x))).alias(f"up_to_{x:g}") for x in limits],
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensq.functions.keys import seeded_digest
+from condensq.session import cut_lineage
 
 
 def _cut_count(df: DataFrame) -> int:
@@ -161,95 +162,125 @@ def seeded_order(
     return out.drop("_digest")
 
 
+_LOG_STEPS = 2  # bins a factor of e, in the first round
+
+
+def _log_bin(v: Column) -> Column:
+    """Bin rising with a finite number: its sign and order of magnitude."""
+    size = F.floor(F.ln(F.abs(v)) * _LOG_STEPS) + 750 * _LOG_STEPS  # above 0 for the least double
+    return F.coalesce(F.signum(v) * size, F.lit(0.0)).cast("int")
+
+
+def _even_bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    return F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+
+
+def _inside(base: DataFrame, open_: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows _g, c, lo, hi, v: values of column number c that lie in an open interval."""
+    spans = open_.select("_g", F.struct("c", "lo", "hi").alias("s")).distinct()
+    spans = spans.groupBy("_g").agg(F.collect_list("s").alias("_spans"))  # a few for each column
+    # Without groups the intervals are one row; with many, their size decides at run time.
+    met = base.join(spans if by else F.broadcast(spans), "_g")
+    value = F.get(F.array(*cols), F.col("_s.c"))
+    return (
+        met.withColumn("_s", F.explode("_spans"))
+        .select("_g", "_s.c", "_s.lo", "_s.hi", value.alias("v"))
+        .where(F.col("v").between(F.col("lo"), F.col("hi")))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float] = (0.5,),
     by: Sequence[str] = (),
-    margin: float = 0.002,
-    accuracy: int = 10_000,
+    bins: int = 4096,
+    small: int = 10_000,
 ) -> DataFrame:
     """Interpolated quantiles per column (and group): one row per (by, feature, prob).
 
-    Approximate quantiles bracket each answer. Values below the bracket are only counted; the few
-    inside it become rows, are reduced to distinct values and ordered. Nothing else is multiplied
-    or moved, whatever the number of columns. In small groups the bracket is the whole range, as
-    the margin would span less than the neighbouring positions. A bracket that missed its answer
-    would raise an error.
+    Selection in rounds. A round counts the values of an interval by bin, all columns, groups and
+    questions in one pass, and goes on in the one bin that holds the wanted position, from its least
+    to its greatest value. The first round's bins are orders of magnitude, the others even parts, so
+    a double is found after six rounds at most. Rounds end where one value is left, or at most
+    `small` values, which one more pass orders. So no task orders more than `small` values, whatever
+    the number of rows or ties; counts are combined before they are shuffled. Null is skipped; the
+    order is that of Spark (infinities at the ends, then NaN).
     """
     by, cols = list(by), list(cols)
-    asks = [(c, float(p)) for c in cols for p in probs]
     group = F.struct(*by, F.lit(0).alias("_all"))
-    base = df.select(group.alias("_g"), *[F.col(c).cast("double").alias(c) for c in cols])
-
-    def edge(p: float) -> float:
-        return min(1.0, max(0.0, p))
-
-    # Two brackets and a count per question, side by side in one row per group.
-    small = 10 / margin
-
-    def bracket(c: str, p: float) -> Column:
-        near = F.percentile_approx(c, [edge(p - margin), edge(p + margin)], accuracy)
-        return F.when(F.count(c) < small, F.array(F.min(c), F.max(c))).otherwise(near)
-
-    approx = base.groupBy("_g").agg(
-        *[F.count(c).alias(f"_n_{i}") for i, (c, _) in enumerate(asks)],
-        *[bracket(c, p).alias(f"_e_{i}") for i, (c, p) in enumerate(asks)],
+    base = df.select(
+        group.alias("_g"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]
     )
-    # Without groups the brackets are one row; with many, their size decides at run time.
-    placed = base.join(approx if by else F.broadcast(approx), "_g")
-    lo = [F.get(f"_e_{i}", 0) for i in range(len(asks))]
-    hi = [F.get(f"_e_{i}", 1) for i in range(len(asks))]
-    below = placed.groupBy("_g").agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(None).cast("double").alias("v"),
-                    F.count_if(F.col(c) < lo[i]).alias("c"), F.first(f"_n_{i}").alias("n"),
-                )
-                for i, (c, _) in enumerate(asks)
-            ]
-        ).alias("s")
-    ).select("_g", F.explode("s").alias("s")).select("_g", "s.*")
-    inside = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(c).between(lo[i], hi[i]),
-                    F.struct(
-                        F.lit(i).alias("i"), F.col(c).alias("v"), F.col(f"_n_{i}").alias("n")
-                    ),
-                )
-                for i, (c, _) in enumerate(asks)
-            ]
+    names = [f"_{i}" for i in range(len(cols))]
+    top = F.lit(float("inf"))
+
+    def totals(i: int) -> Column:
+        v = F.col(f"_{i}")
+        finite = F.when((v < top) & (v > -top), v)
+        return F.struct(
+            F.lit(i).alias("c"), F.count(v).alias("n"), F.count_if(v == -top).alias("low"),
+            F.count(finite).alias("left"), F.count_if(v == top).alias("high"),
+            F.min(finite).alias("lo"), F.max(finite).alias("hi"),
         )
+
+    stats = base.groupBy("_g").agg(F.array(*[totals(i) for i in range(len(cols))]).alias("s"))
+    stats = stats.select("_g", F.explode("s").alias("s")).select("_g", "s.*").where("n > 0")
+    # Both positions of each question; an open one has no value yet.
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)])
+    exact = (F.col("n") - 1) * F.col("q.p")
+    ends = F.array(F.floor(exact), F.ceil(exact))
+    state = stats.withColumn("q", F.explode(asked)).select(
+        "*", (exact - F.floor(exact)).alias("w"), F.posexplode(ends).alias("e", "pos")
+    )
+    rest = F.col("pos") - F.col("low")
+    value = (
+        F.when(rest < 0, -top)
+        .when(rest >= F.col("left") + F.col("high"), F.lit(float("nan")))
+        .when(rest >= F.col("left"), top)
+        .when(F.col("lo") == F.col("hi"), F.col("lo"))
     )
-    near = placed.select("_g", F.explode(inside).alias("s")).select("_g", "s.*")
-    counts = near.groupBy("_g", "i", "n", "v").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("_g", "i").orderBy(F.col("v").asc_nulls_first())
-    cum = counts.select("_g", "i", "v", "c", "n").unionByName(below.select("_g", "i", "v", "c", "n"))
-    cum = cum.withColumn("upto", F.sum("c").over(order))
-    prob = F.element_at(F.array(*[F.lit(p) for _, p in asks]), F.col("i") + 1)
-    target = (F.col("n") - 1) * prob
-    first, second = F.floor(target), F.ceil(target)
-
-    def at(pos: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= pos + 1, F.col("v")))
-
-    found = cum.where("n > 0").groupBy("_g", "i").agg(
-        at(first).alias("a"), at(second).alias("b"), F.first(target - first).alias("w"),
-        (
-            (F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)) > F.first(first))
-            | (F.max("upto") <= F.first(second))
-        ).alias("missed"),
+    state = state.select("_g", "c", "q.k", "w", "e", rest.alias("pos"), "left", "lo", "hi",
+                         value.alias("value"))
+    on = ["_g", "c", "lo", "hi"]
+    number = 0
+    while True:
+        state = cut_lineage(state)
+        open_ = state.where("value IS NULL")
+        most = open_.agg(F.max("left")).first()[0]
+        if most is None or most <= small:
+            break
+        found = _inside(base, open_, names, by)
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        bin_ = _even_bin(v, lo, hi, bins) if number else _log_bin(v)
+        counts = found.groupBy(*on, bin_.alias("bin")).agg(
+            F.count(F.lit(1)).alias("b"), F.min("v").alias("_lo"), F.max("v").alias("_hi")
+        )
+        upto = Window.partitionBy(*on).orderBy("bin")  # a row a bin
+        counts = counts.withColumn("_before", F.sum("b").over(upto) - F.col("b"))
+        at = F.col("pos") - F.col("_before")
+        state = open_.join(counts, on).where((at >= 0) & (at < F.col("b"))).select(
+            "_g", "c", "k", "w", "e", at.alias("pos"), F.col("b").alias("left"),
+            F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
+            F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("value"),
+        ).unionByName(state.where("value IS NOT NULL"))
+        number += 1
+    if most is not None:
+        lists = _inside(base, open_, names, by).groupBy(*on).agg(
+            F.sort_array(F.collect_list("v")).alias("_values")  # `small` at most
+        )
+        last = open_.join(lists, on).withColumn("value", F.get("_values", F.col("pos").cast("int")))
+        state = last.drop("_values").unionByName(state.where("value IS NOT NULL"))
+    both = state.groupBy("_g", "c", "k", "w").agg(
+        F.max(F.when(F.col("e") == 0, F.col("value"))).alias("a"),
+        F.max(F.when(F.col("e") == 1, F.col("value"))).alias("b"),
     )
-    names = F.element_at(F.array(*[F.lit(c) for c, _ in asks]), F.col("i") + 1)
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
-    checked = F.when(F.col("missed"), F.raise_error(F.lit("quantile bracket missed its answer")))
-    return found.select(
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
+    return both.select(
         *[F.col(f"_g.{c}").alias(c) for c in by],
-        names.alias("feature"), prob.alias("prob"),
-        checked.otherwise(value).cast("double").alias("quantile"),
+        F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1).alias("feature"),
+        F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("k") + 1).alias("prob"),
+        F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("quantile"),
     )
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import signal
+import subprocess
 from collections.abc import Callable, Iterator, Sequence
+from multiprocessing import Pipe
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +123,69 @@ def parse_run_logs(df: DataFrame, text: str = "log", exit_code: str = "exit_code
 
 # External programs ---------------------------------------------------------------------------
 
+def _killed(pid: int) -> None:
+    """End a child with every program it has started, and collect it."""
+    try:
+        os.killpg(pid, signal.SIGKILL)
+    except ProcessLookupError:
+        pass  # it ended by itself and left no program behind
+    os.waitpid(pid, 0)
+
+
+def supervised(fn: Callable, part: list, timeout: float):
+    """`fn(part, timeout)` in a process of its own, ended with its programs at the time limit.
+
+    Raises TimeoutError at the limit, RuntimeError where the process ends without an answer, and
+    what `fn` raises as RuntimeError with its name.
+    """
+    receiver, sender = Pipe(duplex=False)
+    pid = os.fork()
+    if not pid:
+        try:
+            os.setpgid(0, 0)
+            receiver.close()
+            try:
+                answer = (True, fn(part, timeout))
+            except Exception as exc:
+                answer = (False, f"{type(exc).__name__}: {exc}")
+            sender.send(answer)
+        finally:
+            os._exit(0)  # nothing of the worker runs on in the child
+    sender.close()
+    try:
+        os.setpgid(pid, pid)  # whichever of the two comes first
+    except (PermissionError, ProcessLookupError):
+        pass
+    try:
+        if not receiver.poll(timeout):
+            raise TimeoutError(f"over {timeout:g} seconds")
+        fine, answer = receiver.recv()
+    except EOFError:
+        raise RuntimeError("the process ended without an answer") from None
+    finally:
+        _killed(pid)
+        receiver.close()
+    if not fine:
+        raise RuntimeError(answer)
+    return answer
+
+
+def program(argv: Sequence[str]) -> Callable[[list[tuple[str, str]], float], dict[str, str]]:
+    """A command as `fn` of `run_external`: it reads `key<TAB>sequence` lines and writes
+    `key<TAB>output` lines; keys without a line have failed. An exit code other than 0 fails them
+    all."""
+
+    def run(part: list[tuple[str, str]], timeout: float) -> dict[str, str]:
+        lines = "".join(f"{k}\t{s}\n" for k, s in part)
+        # In the child's process group, so the supervisor's kill reaches it too.
+        done = subprocess.run(list(argv), input=lines, capture_output=True, text=True)
+        if done.returncode:
+            raise RuntimeError(f"exit code {done.returncode}: {done.stderr.strip()[-200:]}")
+        return dict(x.split("\t", 1) for x in done.stdout.splitlines() if "\t" in x)
+
+    return run
+
+
 def run_external(
     df: DataFrame,
     fn: Callable[[list[tuple[str, str]], float], dict[str, str]],
@@ -131,9 +198,11 @@ def run_external(
 ) -> DataFrame:
     """Run a program on every sequence inside the tasks; each row comes back with a status.
 
-    `fn(list of (key, seq), timeout)` returns key -> output text and may raise. A failing chunk
-    marks its own rows `failed` and the rest go on; lengths outside the window are `skipped`.
-    Rows reach `fn` in small chunks whatever the partition size.
+    `fn(list of (key, seq), timeout)` returns key -> output text and may raise; it runs in a process
+    of its own for each chunk. A chunk that fails, crashes its process or is not done after
+    `timeout` seconds (then the process and what it started are killed) marks its own rows `failed`
+    and the rest go on; lengths outside the window are `skipped`. Rows reach `fn` in small chunks
+    whatever the partition size.
     """
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,9 +217,11 @@ def run_external(
             for i in range(0, len(todo), chunk):
                 part = todo[i:i + chunk]
                 try:
-                    got, error = fn(part, timeout), "no output"
+                    got, error = supervised(fn, part, timeout), "no output"
+                except TimeoutError as exc:
+                    got, error = {}, f"timeout: {exc}"
                 except Exception as exc:  # one chunk must not end the task
-                    got, error = {}, f"{type(exc).__name__}: {exc}"
+                    got, error = {}, str(exc)
                 out.append(
                     pd.DataFrame(
                         [

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from condensq.functions.arrays import by_strength, top_k_abs
@@ -87,6 +87,57 @@ def chunk_text(
     return df.select(*rest, F.posexplode(split(text)).alias("chunk", "chunk_text"))
 
 
+class _ChunkRows:
+    """`chunk_text(text, size, overlap, mode)` as a table function: a row for each chunk."""
+
+    def eval(self, text: str, size: int, overlap: int, mode: str):
+        if not text:
+            return
+        if mode == "fixed":
+            parts = [text[i:i + size] for i in range(0, len(text), size - overlap)]
+        else:
+            parts = pack(_pieces(text, size, 0), size, overlap)
+        yield from enumerate(parts)
+
+
+class _PackRows:
+    """`pack_passages(TABLE(t) PARTITION BY k ORDER BY (i), size)`: passages of a partition, in their
+    order, put together up to `size` characters a row. Needs columns k, i and passage."""
+
+    def __init__(self):
+        self.key, self.number, self.parts, self.length = None, 0, [], 0
+
+    def _row(self):
+        row = (str(self.key), self.number, len(self.parts), "\n".join(self.parts))
+        self.number, self.parts, self.length = self.number + 1, [], 0
+        return row
+
+    def eval(self, row: Row, size: int):
+        self.key, passage = row["k"], row["passage"] or ""
+        if self.parts and self.length + 1 + len(passage) > size:
+            yield self._row()
+        self.length += len(passage) + (1 if self.parts else 0)
+        self.parts.append(passage)
+
+    def terminate(self):
+        if self.parts:
+            yield self._row()
+
+
+def register_table_functions(spark) -> None:
+    """Make `chunk_text` and `pack_passages` known to SQL:
+
+        SELECT d.doc_id, c.* FROM docs d, LATERAL chunk_text(d.text, 1000, 200, 'recursive') c
+    """
+    spark.udtf.register(
+        "chunk_text", F.udtf(_ChunkRows, returnType="chunk int, chunk_text string", useArrow=True)
+    )
+    spark.udtf.register(
+        "pack_passages",
+        F.udtf(_PackRows, returnType="k string, number int, n_passages int, text string", useArrow=True),
+    )
+
+
 def with_source(df: DataFrame, path: str = "path") -> DataFrame:
     """File name and its stem."""
     name = F.element_at(F.split(path, "/"), -1)

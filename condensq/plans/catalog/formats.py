@@ -168,6 +168,34 @@ def state_file_scan(spark, d):
     return IO.read_state(spark, paths, lines=True).select("key", "status", "runtime_sec")
 
 
+@query("state_map_scan", """
+SELECT s_suppkey::VARCHAR AS key, 'completed' AS status, s_acctbal AS runtime_sec, s_name AS host,
+       s_nationkey::BIGINT AS attempt FROM supplier""")
+def state_map_scan(spark, d):
+    """One file that is one map of all keys, read by many tasks; fields unknown to the reader stay."""
+    s = S.table(spark, d, "supplier")
+    more = F.struct(F.col("s_name").alias("host"), F.col("s_nationkey").alias("attempt"))
+    entry = F.to_json(F.struct(
+        F.lit("completed").alias("status"), F.col("s_acctbal").alias("runtime_sec"), more.alias("run")
+    ))
+    line = F.concat(F.lit('"'), F.col("s_suppkey").cast("string"), F.lit('": '), entry)
+    # Files of a folder follow each other in one map: the first opens it, the last closes it.
+    path = _folder(spark)
+    first, last = s.agg(F.min("s_suppkey")).scalar(), s.agg(F.max("s_suppkey")).scalar()
+    text = F.concat(
+        F.when(F.col("s_suppkey") == first, "{").otherwise(""), line,
+        F.when(F.col("s_suppkey") == last, "}").otherwise(","),
+    )
+    s.select(text.alias("value"), "s_suppkey").repartitionByRange(1, "s_suppkey").sortWithinPartitions(
+        "s_suppkey"
+    ).select("value").write.text(path)
+    run = {"host": "string", "attempt": "bigint"}
+    return IO.read_state(spark, [path]).select(
+        "key", "status", "runtime_sec",
+        *[F.try_variant_get("entry", f"$.run.{c}", t).alias(c) for c, t in run.items()],
+    )
+
+
 @query("stored_star_sql", STAR_SQL + """
 SELECT g.tier, g.split, count(*) AS n, round(avg(p.prob_pos), 6) AS mean_prob,
        count(f.rmsf_mean) AS n_dynamic

@@ -32,6 +32,39 @@ def chunk_manifest(spark, d):
     return corpus_manifest(P.chunk_fixed(docs, "doc_id", "text"))
 
 
+@query("chunk_lateral", _CHUNKS)
+def chunk_lateral(spark, d):
+    """The same chunks by the table function in SQL."""
+    P.register_table_functions(spark)
+    docs = S.documents(spark, d).select("doc_id", "text")
+    return spark.sql(
+        f"""SELECT d.doc_id, c.chunk, c.chunk_text
+        FROM {{docs}} d, LATERAL chunk_text(d.text, {P.CHUNK_SIZE}, {P.CHUNK_OVERLAP}, 'fixed') c""",
+        docs=docs,
+    )
+
+
+@query("packed_turns", r"""
+WITH c AS (SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n,
+                  sum(length(text)) + count(*) - 1 AS size FROM conversations GROUP BY 1)
+SELECT conv_id::VARCHAR AS k, n::BIGINT AS n_passages, size::BIGINT AS n_chars, true AS fits FROM c""")
+def packed_turns(spark, d):
+    """Turns of each conversation, in order, packed into passages of 400 characters by the table
+    function's PARTITION BY; no turn is lost and a passage is longer only where a turn is."""
+    P.register_table_functions(spark)
+    turns = S.table(spark, d, "conversations").select(
+        F.col("conv_id").alias("k"), F.col("turn").alias("i"), F.col("text").alias("passage")
+    )
+    rows = spark.sql(
+        "SELECT * FROM pack_passages(TABLE({turns}) PARTITION BY k ORDER BY (i), 400)", turns=turns
+    )
+    return rows.groupBy("k").agg(
+        F.sum("n_passages").alias("n_passages"),
+        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("n_chars"),
+        F.min((F.length("text") <= 400) | (F.col("n_passages") == 1)).alias("fits"),
+    )
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, d):
     docs = S.documents(spark, d).select("doc_id", "text")

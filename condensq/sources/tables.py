@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,27 +115,47 @@ def read_events(
     )
 
 
+#: Ends an entry of a map of maps; files are cut here, so many tasks read one file.
+_ENTRY_END = "},"
+
+
+def _entries(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(key, entry) of a file that is one JSON map, or with `lines` one map per line; `entry` is a
+    variant, so no field has to be known.
+
+    A file of one map is cut where entries end, wherever that is in the file. The ends of the pieces
+    are put right and each is parsed alone. Where a piece is no map (an entry holds a map of its own
+    in its middle, or a text with such an end in it), the file is parsed as a whole instead.
+    """
+    if lines:
+        maps = spark.read.text(path).select(F.parse_json("value").alias("map"))
+    else:
+        piece = spark.read.option("lineSep", _ENTRY_END).text(path).where("trim(value) RLIKE '[^{}\\\\s]'")
+        body = F.concat(F.lit("{"), F.regexp_replace("value", r"^\s*\{", ""))
+        last = F.try_parse_json(body)
+        maps = piece.select(F.coalesce(F.try_parse_json(F.concat(body, F.lit("}}"))), last).alias("map"))
+        if not maps.where("map IS NULL").isEmpty():
+            maps = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("map"))
+    found = maps.lateralJoin(spark.tvf.variant_explode(F.col("map").outer()))
+    return found.select("key", F.col("value").alias("entry"))
+
+
 def read_state(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
     """Key to status maps of several JSON files; for a key in two files the later file wins.
 
-    A file is one map, or with `lines` one map per line, which large state tables need.
+    A file is one map, or with `lines` one map per line. `entry` keeps what a state file says beside
+    the known fields.
     """
-    entry = (
-        "struct<status:string,n_conformations:bigint,runtime_sec:double,error:string,"
-        "timestamp:string>"
-    )
+    types = {"status": "string", "n_conformations": "bigint", "runtime_sec": "double",
+             "error": "string", "timestamp": "string"}
+    fields = [F.try_variant_get("entry", f"$.{c}", t).alias(c) for c, t in types.items()]
     parts = [
-        spark.read.option("wholetext", not lines).text(p)
-        .select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("key", "s"))
-        .select("key", F.lit(i).alias("file"), "s.*")
+        _entries(spark, p, lines).select("key", F.lit(i).alias("file"), *fields, "entry")
         for i, p in enumerate(paths)
     ]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    cols = ["status", "n_conformations", "runtime_sec", "error", "timestamp"]
+    merged = reduce(DataFrame.unionByName, parts)
     return merged.groupBy("key").agg(
-        F.max_by(F.struct(*cols), F.struct("file", "timestamp")).alias("s")
+        F.max_by(F.struct(*types, "entry"), F.struct("file", "timestamp")).alias("s")
     ).select("key", "s.*")
 
 

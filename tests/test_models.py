@@ -130,6 +130,23 @@ def test_attributions_equal_the_definition(spark, data, forest):
             assert phi[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_whole_forest_attributions(spark, data):
+    """Blocks of rows and groups of trees give what one walk over all leaves gives."""
+    _, filled, _ = data
+    model = L.fit_forest(filled.where("split = 'train'"), COLS, params=ForestSettings(trees=9, max_depth=30))
+    leaves = X.leaf_table(X.node_table(model.stages[-1], spark)).cache()
+    out = X.forest_attribution(L.score(filled, model), leaves, COLS, "gene_id", rows_per_block=150, trees_per_group=4)
+    gap = F.abs(F.aggregate("attributions", F.col("base_value"), lambda s, x: s + x) - F.col("prob_pos"))
+    assert out.count() == 400 and out.agg(F.max(gap)).first()[0] < 1e-9
+    got = out.orderBy("gene_id").select("attributions", *COLS).collect()
+    paths = list(X._leaf_paths(X.forest_nodes(model.stages[-1], spark)))
+    assert leaves.count() == len(paths)
+    want, base = X.attribute_rows(np.array([[r.a, r.b, r.c] for r in got]), paths)
+    assert np.allclose([r.attributions for r in got], want, atol=1e-12)
+    assert out.first().base_value == pytest.approx(base)
+    assert X.forest_attribution(L.score(filled.limit(0), model), leaves, COLS, "gene_id").collect() == []
+
+
 def test_importance_tables(spark):
     imp = spark.createDataFrame([("cds_length", 0.3, 1), ("zzz", 0.1, 2)], "feature string, mean_abs_shap double, rank int")
     got = {r.feature: (r.shap_pct, r.category) for r in X.importance_share(imp).collect()}
