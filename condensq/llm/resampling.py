@@ -136,7 +136,7 @@ def gains(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000)
     t = bucket_counts(target, n, buckets).withColumnRenamed("n", "t")
     spark = docs.sparkSession
     both = spark.range(buckets).toDF("bucket").join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0)
-    found = both.orderBy("bucket").toPandas()  # one row for each bucket
+    found = both.toPandas().sort_values("bucket")  # one row for each bucket
     s, t = (found[c].to_numpy(np.float64) for c in ("s", "t"))
     ratio = (t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets))
     return np.array([math.floor(1000 * math.log(x)) for x in ratio.tolist()], np.int64)
