@@ -46,10 +46,10 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(common.cast("double"), F.size(a) + F.size(b) - common)
 
 
-def common_items(sets: DataFrame, most: int = 200_000) -> np.ndarray:
-    """Items that many sets hold, rarest first: an estimate from one set in 16. It only orders the
-    items of a set, so it decides what a join costs and not what it finds."""
-    part = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)
+def common_items(sets: DataFrame, most: int = 200_000, share: int = 16) -> np.ndarray:
+    """Items that many sets hold, rarest first: an estimate from one set in `share`. It only orders
+    the items of a set, so it decides what a join costs and not what it finds."""
+    part = sets.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else sets
     # A plain explode infers a filter on `items`, which would cut each text again for every run.
     part = part.select(F.explode_outer("items").alias("h"))
     counts = part.groupBy("h").agg(F.count("h").alias("c")).where("c >= 8")

@@ -108,7 +108,7 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
     retained = F.col("event_type") == "RI"
     cut = shrink(regions, F.when(retained, F.lit(INTRON_SLACK)).otherwise(F.lit(0)))
     included = F.when(retained, contained()).otherwise(overlap_length() >= MIN_OVERLAP)
-    hits = binned_join(ex, cut, ["gene_id", "contig"], included, width)
+    hits = binned_join(ex, cut, ["gene_id", "contig"], included, width, longest=width)
     return hits.select("gene_id", "event_id", "transcript_id", *about).distinct()
 
 

@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None):
 
 
 for _part in ("questions", "labels", "transcripts", "series", "evaluation", "learning", "text",
-              "operations", "formats", "service"):
+              "operations", "formats", "service", "invariants"):
     import_module(f"{__name__}.{_part}")

@@ -1,10 +1,13 @@
 """Models on the labelled star: training, calibration, attribution, projection.
 
-The forests here are small, so the queries stay quick; operators default to the full settings.
+Models have the settings of `config.py`. A model is fitted once per application and input, and the
+queries that need it share it.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from condensq.config import BoostSettings, ForestSettings
@@ -15,8 +18,10 @@ from condensq.operators.monitoring import classification_report
 from condensq.operators.tables import feature_columns
 from condensq.plans import star as S
 from condensq.plans.catalog import query
+from condensq.session import cut_lineage
 
-FOREST = ForestSettings(trees=12, max_depth=5)
+FOREST = ForestSettings()
+BOOST = BoostSettings()
 COLS = [
     "mrna_length", "au_content", "gc_content", "di_CG", "di_UA", "utr3_length", "utr3_au_content",
     "rrach_per_kb", "idr_percent", "rmsf_nterm50", "n_residues",
@@ -29,9 +34,48 @@ def matrix(spark, d):
     return g.join(S.features(spark, d).select("gene_id", *COLS), "gene_id")
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def once(spark, d, name, fit):
+    """What `fit()` gives, worked out once per application and input: models and small tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def prepared(spark, d):
-    filled, medians = L.imputation_policy(matrix(spark, d), COLS)
-    return filled.persist(), medians
+    def fill():
+        filled, medians = L.imputation_policy(matrix(spark, d), COLS)
+        return cut_lineage(filled), medians
+
+    return once(spark, d, "prepared", fill)
+
+
+def forest(spark, d, seed=FOREST.seed):
+    """(rows, fitted forest)"""
+    df, _ = prepared(spark, d)
+    params = replace(FOREST, seed=seed)
+    train = df.where("split = 'train'")
+    return df, once(spark, d, f"forest-{seed}", lambda: L.fit_forest(train, COLS, params=params))
+
+
+def leaves(spark, d, seed=FOREST.seed):
+    """The forest's leaf table."""
+    _, model = forest(spark, d, seed)
+    return once(
+        spark, d, f"leaves-{seed}",
+        lambda: cut_lineage(X.leaf_table(X.node_table(model.stages[-1], spark))),
+    )
+
+
+def calibrated(spark, d):
+    """(rows, calibrated forest)"""
+    df, _ = prepared(spark, d)
+    train = df.where("split = 'train'")
+    fit = lambda: L.fit_calibrated(train, COLS, "gene_id", params=FOREST)
+    return df, once(spark, d, "calibrated", fit)
 
 
 @query("imputation_medians", S.STAR_SQL + """, t AS (
@@ -49,8 +93,7 @@ def imputation_medians(spark, d):
 
 @query("rf_scores")
 def rf_scores(spark, d):
-    df, _ = prepared(spark, d)
-    model = L.fit_forest(df.where("split = 'train'"), COLS, params=FOREST)
+    df, model = forest(spark, d)
     return L.score(df, model).select("gene_id", "class", "split", "prob_pos", "pred", "correct")
 
 
@@ -58,59 +101,70 @@ def rf_scores(spark, d):
 def gbt_scores(spark, d):
     df, _ = L.imputation_policy(matrix(spark, d), COLS, "none")
     cols = feature_columns(df, drop=["is_val"])
-    rows = df.where("split <> 'test'").withColumn("is_val", F.col("split") == "val").persist()
-    model = L.fit_boosting(rows, cols, params=BoostSettings(rounds=8, max_depth=3))
+
+    def fit():
+        rows = df.where("split <> 'test'").withColumn("is_val", F.col("split") == "val").persist()
+        model = L.fit_boosting(rows, cols, params=BOOST)
+        rows.unpersist()
+        return model
+
+    model = once(spark, d, "boosting", fit)
     return L.score(df, model).select("gene_id", "class", "split", "prob_pos", "pred")
 
 
 @query("baseline_scores")
 def baseline_scores(spark, d):
-    df, _ = prepared(spark, d)
-    model = L.fit_baseline(
-        df.where("split = 'train'"), ("mrna_length", "utr3_length"), params=FOREST
+    """The two-feature forest on mRNA and coding length, which larger models must beat."""
+    g = S.genes(spark, d).where(F.col("class") >= 0).select("gene_id", "class", "split")
+    rows = g.join(S.features(spark, d).select("gene_id", "mrna_length", "cds_length"), "gene_id")
+    filled, _ = L.imputation_policy(rows, ["mrna_length", "cds_length"])
+    model = once(
+        spark, d, "baseline", lambda: L.fit_baseline(filled.where("split = 'train'"), params=FOREST)
     )
-    return metric_table(L.score(df, model), ["split"])
+    return metric_table(L.score(filled, model), ["split"])
 
 
 @query("calibrated_scores")
 def calibrated_scores(spark, d):
-    df, _ = prepared(spark, d)
-    small = ForestSettings(trees=5, max_depth=4)
-    model = L.fit_calibrated(df.where("split = 'train'"), COLS, "gene_id", k=3, params=small)
+    df, model = calibrated(spark, d)
     return model.transform(df).select("gene_id", "class", "split", "prob_pos")
 
 
 @query("class_weight_sweep")
 def class_weight_sweep(spark, d):
     df, _ = prepared(spark, d)
-    best, results = L.sweep_class_weight(
-        df.where("split = 'train'"), df.where("split = 'val'"), COLS,
-        params=ForestSettings(trees=5, max_depth=3),
+    best, results = once(
+        spark, d, "sweep",
+        lambda: L.sweep_class_weight(
+            df.where("split = 'train'"), df.where("split = 'val'"), COLS, params=FOREST
+        ),
     )
     return spark.createDataFrame(
         [(k, v, k == best) for k, v in results.items()], "weights string, f1_macro double, best boolean"
     )
 
 
+def explained(spark, d, seed=FOREST.seed):
+    df, model = forest(spark, d, seed)
+    return once(
+        spark, d, f"explained-{seed}",
+        lambda: cut_lineage(
+            X.forest_attribution(L.score(df, model), leaves(spark, d, seed), COLS, "gene_id")
+        ),
+    )
+
+
 @query("attributions")
 def attributions(spark, d):
-    df, _ = prepared(spark, d)
-    model = L.fit_forest(df.where("split = 'train'"), COLS, params=FOREST)
-    nodes = X.forest_nodes(model.stages[-1], spark)
-    out = X.tree_attribution(L.score(df, model), nodes, COLS)
-    return X.attributions_long(out, "gene_id", COLS)
+    return X.attributions_long(explained(spark, d), "gene_id", COLS)
 
 
 @query("importance_comparison")
 def importance_comparison(spark, d):
-    df, _ = prepared(spark, d)
+    """Importance by two forests that differ in their seed."""
     named = {}
-    for name, seed in (("first", 1), ("second", 2)):
-        model = L.fit_forest(
-            df.where("split = 'train'"), COLS, params=ForestSettings(trees=5, max_depth=3, seed=seed)
-        )
-        nodes = X.forest_nodes(model.stages[-1], spark)
-        rows = X.attributions_long(X.tree_attribution(df, nodes, COLS), "gene_id", COLS)
+    for name, seed in (("first", FOREST.seed), ("second", FOREST.seed + 1)):
+        rows = X.attributions_long(explained(spark, d, seed), "gene_id", COLS)
         named[name] = X.global_importance(rows)
     return X.compare_importance(named)
 
@@ -124,20 +178,21 @@ def pca_2d(spark, d):
 @query("classification_report")
 def report(spark, d):
     df = matrix(spark, d)
-    filled, _ = prepared(spark, d)
-    model = L.fit_forest(filled.where("split = 'train'"), COLS, params=FOREST)
+    _, model = forest(spark, d)
     return classification_report(
         df.where("split = 'train'"), df.where("split = 'test'"), model, COLS
     )
 
 
 def request_bundle(spark, d) -> L.Bundle:
-    """Small scoring bundle trained on what a sequence alone tells."""
+    """Scoring bundle: the forest on what a sequence alone tells, and one feature it does not."""
     cols = ["mrna_length", "au_content", "di_CG", "utr3_au_content", "rrach_per_kb", "rmsf_nterm50"]
-    filled, medians = L.imputation_policy(matrix(spark, d), cols)
-    train = filled.where("split = 'train'").persist()
-    model = L.fit_forest(train, cols, params=ForestSettings(trees=6, max_depth=4))
-    return L.Bundle(model, cols, medians)
+
+    def fit():
+        filled, medians = L.imputation_policy(matrix(spark, d), cols)
+        return L.Bundle(L.fit_forest(filled.where("split = 'train'"), cols, params=FOREST), cols, medians)
+
+    return once(spark, d, "bundle", fit)
 
 
 def requests(spark, d):

@@ -12,6 +12,7 @@ from condensq.operators import registry as G
 from condensq.operators.structure import surface_proxy
 from condensq.plans import star as S
 from condensq.plans.catalog import query
+from condensq.plans.catalog.evaluation import _RUNS
 from condensq.plans.catalog.learning import request_bundle
 from condensq.plans.star import STAR_SQL
 from condensq.session import checkpoint_dir
@@ -97,7 +98,9 @@ def log_mining(spark, d):
     return G.parse_run_logs(rows).select("event_id", "n_conformations", "error")
 
 
-@query("run_registry")
+@query("run_registry", _RUNS.replace(" AS run, split, class", " AS run, 'all' AS split, class").replace(
+    "SELECT 'flat', split,", "SELECT 'flat', 'all',").replace("SELECT 'au', split,", "SELECT 'au', 'all',") + """
+SELECT run, TIMESTAMP '2024-01-31' AS ts, round(auroc, 6) AS auroc, round(f1_macro, 6) AS f1_macro FROM mt""")
 def run_registry(spark, d):
     """Metric tables of several runs, logged and read back."""
     from condensq.operators.metrics import metric_table
@@ -110,7 +113,9 @@ def run_registry(spark, d):
             spark, path, r["run"], "2024-01-31", {"threshold": 0.5},
             {"auroc": r["auroc"], "f1_macro": r["f1_macro"]}, {"data": d.rsplit("/", 1)[-1]},
         )
-    return G.compare_runs(G.read_runs(spark, path), ["auroc", "f1_macro"])
+    out = G.compare_runs(G.read_runs(spark, path), ["auroc", "f1_macro"])
+    return out.select("run", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                      *[F.round(c, 6).alias(c) for c in ("auroc", "f1_macro")])
 
 
 @query("external_stage", S.with_sql(S.SEQ_SQL) + """

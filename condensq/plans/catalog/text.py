@@ -256,17 +256,45 @@ def text_retrieval(spark, d):
     return P.top_k(P.apply_tfidf(ask, model), vec, 5)
 
 
+#: Every pair of texts with half of their five-word runs in common, and who reaches whom by them.
+_CLUSTERS = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+      FROM t),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.5 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents
+                 UNION SELECT links.y, r.c FROM r JOIN links ON r.doc_id = links.x),
+clusters AS (SELECT doc_id, min(c) AS cluster_id FROM r GROUP BY 1)
+"""
+
+
 def clusters(spark, d):
     docs = S.documents(spark, d).select("doc_id", "text")
     return similarity_clusters(docs, "doc_id", "text", k=5, threshold=0.5, unit="words")
 
 
-@query("similarity_clusters")
+@query("similarity_clusters", _CLUSTERS + "SELECT doc_id, cluster_id FROM clusters")
 def text_clusters(spark, d):
     return clusters(spark, d)
 
 
-@query("leakage_safe_split")
+@query("leakage_safe_split", _CLUSTERS + """, lab AS (
+  SELECT doc_id, cluster_id AS cl, coalesce(quality, -1) AS class FROM clusters LEFT JOIN labels USING (doc_id)),
+per AS (SELECT cl, class, count(*) AS n, min(doc_id) AS f FROM lab GROUP BY 1, 2),
+maj AS (SELECT cl, arg_min(class, {'n': -n, 'f': f}) AS m FROM per GROUP BY 1),
+pl AS (SELECT cl, m, row_number() OVER (PARTITION BY m ORDER BY md5(cl::VARCHAR || '|42'), cl) AS p,
+              count(*) OVER (PARTITION BY m) AS n FROM maj),
+sp AS (SELECT doc_id, class, CASE WHEN m NOT IN (0, 1) THEN 'train' WHEN p <= floor(n * 0.7::DOUBLE) THEN 'train'
+         WHEN p <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
+       FROM lab JOIN pl USING (cl)),
+leaks AS (SELECT count(*) AS n FROM p JOIN sp a ON a.doc_id = p.x JOIN sp b ON b.doc_id = p.y WHERE a.split <> b.split)
+SELECT split, class, count(*) AS n, (SELECT n FROM leaks) AS n_leaking FROM sp GROUP BY 1, 2""")
 def leakage_safe_split(spark, d):
     """Split by similarity cluster; the audit column counts clusters that leak (always 0)."""
     lab = S.table(spark, d, "labels").select("doc_id", F.col("quality").alias("class"))

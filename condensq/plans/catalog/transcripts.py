@@ -30,7 +30,7 @@ FROM exons x JOIN splice s ON x.gene_id = s.gene_id
  AND least("end", region1_end) - greatest("start", region1_start) + 1 >= 10""")
 def interval_overlap(spark, d):
     ex, ev = _sides(spark, d)
-    return I.interval_overlap(ex, ev, ["gene_id"], 10).select("exon_id", "event_id", "overlap")
+    return I.interval_overlap(ex, ev, ["gene_id"], 10, longest=I.BIN).select("exon_id", "event_id", "overlap")
 
 
 @query("interval_containment", _PAIRS + """
@@ -38,7 +38,7 @@ SELECT exon_id, event_id FROM exons x JOIN splice s ON x.gene_id = s.gene_id
  AND "start" <= region1_start + 2 AND "end" >= region1_end - 2""")
 def interval_containment(spark, d):
     ex, ev = _sides(spark, d)
-    return I.interval_contains(ex, ev, ["gene_id"], 2).select("exon_id", "event_id")
+    return I.interval_contains(ex, ev, ["gene_id"], 2, longest=I.BIN).select("exon_id", "event_id")
 
 
 @query("interval_overlap_unkeyed", """

@@ -186,6 +186,10 @@ def test_long_intervals_beside_short_ones(spark, rows, width):
     b = spark.createDataFrame(right, "r int, g string, r_start long, r_end long")
     want = sorted((x, y) for x, g, s, e in left for y, h, t, f in right if min(e, f) >= max(s, t))
     assert rows(I.interval_overlap(a.drop("g"), b.drop("g"), [], 1, width), "l", "r") == want
+    if width == 1000:  # a hint that is wrong costs rows, not results
+        near_a, near_b = a.where("l_end < 2000000").drop("g"), b.where("r_end < 2000000").drop("g")
+        hinted = I.interval_overlap(near_a, near_b, [], 1, width, longest=4000)
+        assert rows(hinted, "l", "r") == rows(I.interval_overlap(near_a, near_b, [], 1, width), "l", "r")
     keyed = sorted((x, y) for x, g, s, e in left for y, h, t, f in right if g == h == "x" and min(e, f) >= max(s, t))
     assert rows(I.interval_overlap(a, b, ["g"], 1, width), "l", "r") == keyed
 
