@@ -62,9 +62,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # the cache here stands before the library's own
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the cache here stands before the library's own
         self.packed = [struct.pack("<I", i) for i in range(1 + self._last_id())]
         self.cache_size = cache_size
         self.young: dict[str, bytes] = {}
@@ -104,6 +105,8 @@ class Encoder:
         """Ids of the whole text; none for null or empty."""
         if not text:
             return b""
+        if any(t in text for t in self.added):  # the library gives their strings ids of their own
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _BETWEEN.split(text) if _RUNS.search(text) or text[0] == " " or text[-1] == " " \
             else text.split(" ")
         first = self._ids(_PIECE.findall(parts[0]))
@@ -122,6 +125,8 @@ class Encoder:
         sizes = np.zeros(1 + self._last_id(), np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             sizes[i] = len(piece)  # one character stands for one byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            sizes[i] = len(token.content.encode())
         return sizes
 
 
@@ -133,3 +138,8 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
+
+
+def forget() -> None:
+    """Give the memory of this Python worker's encoders back; other stages use the worker too."""
+    _ENCODERS.clear()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condensq.llm.common import buckets_for, slices, with_rank
-from condensq.llm.encoding import VOCABULARY, encoder
+from condensq.llm.encoding import VOCABULARY, encoder, forget
 from condensq.session import cut_lineage
 
 CAPACITY = 2048
@@ -32,11 +32,13 @@ def pieces(
     separator: int = 0,
     vocabulary: str = VOCABULARY,
     with_ids: bool = False,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32[, ids]) of every document.
 
     A document is its ids and the separator. A longer one than `capacity` is cut into full pieces;
-    what is over comes first. `row` tells documents of equal id apart.
+    what is over comes first. `row` tells documents of equal id apart. With `keep_cache` a Python
+    worker keeps its encoder for the next task, which takes memory from stages of other kinds.
     """
     ids_too = [("ids", pa.list_(pa.int32()))] if with_ids else []
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *(n for n, _ in ids_too)]
@@ -62,6 +64,9 @@ def pieces(
                 [pa.array(v, t) for v, t in zip(out, [*kinds, *(t for _, t in ids_too)])], names
             )
 
+        if not keep_cache:
+            forget()
+
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, piece int, start long, "
         "length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -174,9 +179,12 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, vocabulary: str = VOCABULARY,
+    keep_cache: bool = True,
+) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    found = cut_lineage(pieces(docs, capacity, separator, vocabulary))
+    found = cut_lineage(pieces(docs, capacity, separator, vocabulary, keep_cache=keep_cache))
     return packed(found, capacity)
 
 
