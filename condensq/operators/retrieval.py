@@ -144,6 +144,14 @@ def with_source(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns({"source": name, "paper": F.regexp_replace(name, r"\.[^.]*$", "")})
 
 
+def page_texts(df: DataFrame, text: str = "text", page: str = "page") -> DataFrame:
+    """One row per page of a paged text: pages end at form feeds and are numbered from 0; pages
+    without a letter or digit are left out, and the numbers of the others stay."""
+    rest = [c for c in df.columns if c != text]
+    pages = df.select(*rest, F.posexplode(F.split(text, "\f")).alias(page, text))
+    return pages.where(F.col(text).rlike(r"[\p{L}\p{N}]"))
+
+
 # Embedding -----------------------------------------------------------------------------------
 
 def embed_tfidf(df: DataFrame, text: str, dims: int = 512, fit_on: DataFrame | None = None):

@@ -27,5 +27,6 @@ def query(name: str, sql: str | None = None):
 
 
 for _part in ("questions", "labels", "transcripts", "series", "evaluation", "learning", "text",
-              "operations", "formats", "service", "invariants"):
+              "operations", "formats", "service", "invariants",
+              "details"):
     import_module(f"{__name__}.{_part}")
