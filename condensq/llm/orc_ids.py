@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from condensq.llm.common import slices
 from condensq.llm.encoding import VOCABULARY, encoder
+from condensq.operators.ranking import with_range_bucket
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -37,7 +39,9 @@ ORC_OPTIONS = {
 def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOCABULARY) -> None:
     """Encode every text, append `end_id`, write files in rising doc_id.
 
-    Texts are shuffled, not ids: they are smaller. Equal ids spread over files by digest of text.
+    Texts are shuffled, not ids: they are smaller. The ranges of the files come from the ids alone,
+    so no text is read for them; rows of one id share a file, by digest of text. Files are numbered
+    in their order.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -61,8 +65,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = VOC
                 ["doc_id", "copy", "n_tokens", "ids"],
             )
 
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    rows = docs.select("doc_id", "text")
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = with_range_bucket(rows, F.col("doc_id"), n, "_range")
+        rows = ranged.repartitionById(n, F.col("_range").cast("int"))
+    else:
+        rows = rows.repartitionByRange("doc_id")
+    ordered = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
     encoded = ordered.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, copy int, n_tokens int, ids array<int>"
     )
@@ -105,7 +115,8 @@ def digests(stored: DataFrame) -> DataFrame:
     within = Window.partitionBy("file").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("n_tokens").over(within))
     totals = stored.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
-    files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    files = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     before = totals.select("file", F.coalesce(F.sum("_total").over(files), F.lit(0)).alias("_before"))
     return rows.join(before, "file").select(
         "doc_id", (F.col("_before") + F.col("_upto") - F.col("n_tokens")).alias("start"),
