@@ -44,7 +44,8 @@ def pieces(
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *(n for n, _ in ids_too)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([separator], "<u4").tobytes()
+        enc = encoder(vocabulary) if keep_cache else encoder(vocabulary, 200_000)
+        end = np.array([separator], "<u4").tobytes()
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in names]
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
