@@ -147,7 +147,8 @@ FROM lab WHERE split IN ('train', 'test') GROUP BY 1""")
 def report_invariants(spark, d):
     out = QUERIES["classification_report"](spark, d)
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return out.select("dataset", n.cast("long").alias("n"), F.col("auroc").between(0, 1).alias("in_range"))
+    inside = F.coalesce(F.col("auroc").between(0, 1), F.lit(True))  # undefined where one class is missing
+    return out.select("dataset", n.cast("long").alias("n"), inside.alias("in_range"))
 
 
 _REQUESTS = S.with_sql(S.SEQ_SQL) + """

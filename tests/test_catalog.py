@@ -1,6 +1,8 @@
+from dataclasses import replace
+
 import pytest
 
-from condensq.plans.catalog import ORACLES, QUERIES
+from condensq.plans.catalog import ORACLES, QUERIES, learning
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -11,6 +13,15 @@ def con():
     return connect(SF)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_trees():
+    """The models' full size is run at larger scales; here 25 trees for some 40 rows will do."""
+    full = learning.FOREST
+    learning.FOREST = replace(full, trees=25)
+    yield
+    learning.FOREST = full
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
     assert compare(spark, con, name, SF) is None
