@@ -1,73 +1,88 @@
 """Line dedup by alignment: repeated line blocks go from the later document.
 
-1. Every line of at least `min_words` words, once in its document, is a row with its digest.
-   The line's first holder is the document of smallest doc_id; each other holder is linked to it.
-   So a line of any frequency costs one row a holder, never pairs among holders, and a document is
-   aligned with the few documents that were first with its lines.
-2. For each (first, later) pair the shared lines, unique in both, are put in the later one's
-   order, and the longest rising run of their places in the first is kept: patience diff.
-3. Lines between neighbouring anchors that are equal on both sides (short and repeated lines, of
-   any number) belong to the block. Blocks of `min_block_words` words or more are deleted.
+1. From each line with a word, the shortest run of lines that reaches `min_block_words` words is a row
+   with its digest; so is the shortest such run that ends at the line. So each block of whole lines
+   of that many words is covered by runs inside it, whatever its lines are like.
+   The run's first holder is the document of smallest doc_id; each other holder is linked to it.
+   So a run of any frequency costs one row a place, never pairs among holders, and a document is
+   aligned with the few documents that were first with its runs.
+2. For each (first, later) pair the shared runs, each at its first place in both, are put in the later
+   one's order, and the longest rising sequence of their places in the first is kept: patience diff.
+3. Kept runs are deleted from the later document, wherever they stand in it, with the lines without
+   words between and around them. Of blocks that two documents hold in crossed order, one alignment
+   keeps one; an exact copy goes whole.
 
 Edge cases: null text stays null and has no lines; lines are cut at line feeds only; a document
 whose text equals an earlier one's loses all its lines, so its text becomes empty, unless it has
 fewer words than `min_block_words`; rows of equal id and text are one document and are treated
-alike; rows without an id come last in the order of documents and lose their blocks like others.
+alike; a run repeated in its first holder alone stays; columns of other names travel untouched; an
+empty table gives an empty result; a very long text is cut whole, in time linear in its size; rows without an id come last in the order of documents and lose their blocks like others.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest
 
 from condensq.llm.common import rows_of, slices, stored
 
-_SIGN = 1 << 63
+_SIGN, _ALL = 1 << 63, (1 << 64) - 1
 
+#: Columns of a run: 128 bits of digest, its first line and the one after its last, the lines without
+#: words before it (if no line with words is), after it, and if no line with words follows.
+_RUN = ("h", "h2", "line", "stop", "lead", "tail", "ends")
 
-def _digest(data: bytes) -> int:
-    return (xxh64_intdigest(data) & (2 * _SIGN - 1)) - _SIGN
 
+def _digest(data: bytes) -> tuple[int, int]:
+    d = xxh3_128_intdigest(data)
+    return ((d & _ALL) ^ _SIGN) - _SIGN, ((d >> 64) ^ _SIGN) - _SIGN
 
-#: Columns of an anchor: its digest, its line, the runs before and after it (digest, lines), its
-#: words, the words of the run after, and its number in the document.
-_ANCHOR = ("h", "line", "before", "n_before", "after", "n_after", "words", "words_after", "anchor")
 
-
-def line_rows(text: str, min_words: int) -> list[tuple[int, ...]]:
-    """The anchors of a text as tuples of `_ANCHOR`.
-
-    Anchors are lines of `min_words` words or more that occur once. A run is what stands between an
-    anchor and the next one or the end of the text. A first anchor, line -1, has the digest of the
-    whole text.
-    """
-    lines = text.encode().split(b"\n")
+def line_runs(text: str, min_words: int, min_block_words: int) -> list[tuple]:
+    """The runs of a text as tuples of `_RUN`. Line -1 stands for the whole text, if it is no shorter."""
+    data = text.encode()
+    lines = data.split(b"\n")
     words = [len(x.split()) for x in lines]
-    counts = Counter(lines)
-    at = [i for i, x in enumerate(lines) if words[i] >= min_words and counts[x] == 1]
-    edges = [-1, *at, len(lines)]
-    spans = [(a + 1, b) for a, b in zip(edges, edges[1:])]
-    runs = [_digest(b"\n".join(lines[a:b])) for a, b in spans]
-    out = [(_digest(text.encode() + b"\n"), -1, 0, 0, 0, 0, sum(words), 0, 0)]
-    for k, i in enumerate(at):
-        before, after = spans[k], spans[k + 1]
-        out.append((
-            _digest(lines[i]), i, runs[k], before[1] - before[0], runs[k + 1], after[1] - after[0],
-            words[i], sum(words[after[0] : after[1]]), k + 1,
-        ))
+    at = [i for i, n in enumerate(words) if n]
+    if sum(words) < min_block_words:
+        return []
+    begins = [0, *accumulate(len(x) + 1 for x in lines)]
+    runs, low, total = set(), 0, 0
+    for high, i in enumerate(at):  # two ends: [low, high] is the shortest run that ends at line i
+        total += words[i]
+        while total - words[at[low]] >= min_block_words:
+            total -= words[at[low]]
+            low += 1
+        if total >= min_block_words:
+            runs.add((low, high))
+    total, high = 0, -1
+    for low in range(len(at)):
+        while total < min_block_words and high + 1 < len(at):
+            high += 1
+            total += words[at[high]]
+        if total < min_block_words:
+            break
+        runs.add((low, high))
+        total -= words[at[low]]
+    edges = [*at, len(lines)]
+    out = [(*_digest(data + b"\n"), -1, len(lines), 0, 0, True)]
+    for low, high in sorted(runs):
+        i, j = at[low], at[high] + 1
+        if min_words <= 1 or max(words[i:j]) >= min_words:
+            lead = 0 if low else i
+            out.append((*_digest(data[begins[i] : begins[j] - 1]), i, j, lead, edges[high + 1] - j, high + 1 == len(at)))
     return out
 
 
-def rising(values: list[int]) -> list[int]:
+def rising(values: list) -> list[int]:
     """Positions of a longest strictly rising subsequence."""
-    tails: list[int] = []
+    tails: list = []
     at: list[int] = []
     back: list[int] = []
     for i, v in enumerate(values):
@@ -86,96 +101,100 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-#: Columns of a shared anchor as `_blocks` takes them.
-_SHARED = ("line", "f_line", "same_before", "n_before", "same_after", "n_after", "words", "words_after", "anchor", "f_anchor")
+#: Columns of a shared run as `_aligned` takes them.
+_SHARED = ("h", "h2", "line", "stop", "lead", "tail", "ends", "f_line")
 
 
-def _blocks(rows: list[tuple], min_block_words: int) -> Iterator[tuple[int, int]]:
-    """Deleted (from, to) line ranges, both included, of one pair of documents.
+def _aligned(shared: list[tuple]) -> list[tuple]:
+    """The shared runs of one pair of documents that their alignment keeps, in the order given: by
+    line and last line of the later document."""
+    firsts: dict = {}
+    for run in shared:
+        firsts.setdefault(run[:2], run)
+    order = list(firsts.values())
+    kept = {order[i][:2] for i in rising([(r[7], r[3] - r[2]) for r in order])}
+    return [run for run in shared if run[:2] in kept]
 
-    `rows` has the shared anchors as tuples of `_SHARED`, in order of the later document's lines.
-    """
-    shared = [dict(zip(_SHARED, r)) for r in rows]
-    if shared and shared[0]["line"] == -1:
-        if shared[0]["words"] >= min_block_words:
-            yield (0, -1)  # the whole text
-        return
-    kept = [shared[i] for i in rising([r["f_line"] for r in shared])]
-    start, total = None, 0
-    for row, following in zip(kept, [*kept[1:], None]):
-        if start is None:
-            start, total = row["line"] - (row["n_before"] if row["same_before"] else 0), 0
-        total += row["words"] + (row["words_after"] if row["same_after"] else 0)
-        goes_on = (
-            following is not None
-            and row["same_after"]
-            and following["anchor"] == row["anchor"] + 1
-            and following["f_anchor"] == row["f_anchor"] + 1
-        )
-        if not goes_on:
-            if total >= min_block_words:
-                yield (start, row["line"] + (row["n_after"] if row["same_after"] else 0))
-            start = None
-
-
-def deleted_lines(docs: DataFrame, min_words: int = 5, min_block_words: int = 8) -> DataFrame:
+
+def _ranges(runs: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Deleted (from, to) line ranges, both included, of one document, from its kept runs."""
+    start = stop = reach = None
+    for _, _, line, end, lead, tail, ends, _ in sorted(runs, key=lambda r: r[2:4]):
+        if start is None or line > reach:
+            if start is not None:
+                yield start, stop - 1
+            start, stop, reach = line - lead, end, end
+        stop = max(stop, end + tail if ends else end)
+        reach = max(reach, end + tail)
+    if start is not None:
+        yield start, stop - 1
+
+
+def deleted_lines(docs: DataFrame, min_words: int = 1, min_block_words: int = 8) -> DataFrame:
     """(row, from, to): line ranges to delete, for `docs` with a column `row` that names a row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    types = {"h": pa.int64(), "h2": pa.int64(), "ends": pa.bool_()}
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", *_ANCHOR]
-        for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in names]
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
-                for values in line_rows(text, min_words) if text is not None else ():
-                    for column, value in zip(out, (doc, row, *values)):
+        for batch in slices(batches, "text", 2 << 20):
+            out: list[list] = [[] for _ in ("row", *_RUN)]
+            at = []
+            for i, (row, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "text")))):
+                for values in line_runs(text, min_words, min_block_words) if text is not None else ():
+                    at.append(i)
+                    for column, value in zip(out, (row, *values)):
                         column.append(value)
-            kinds = [batch.schema.field("doc_id").type, pa.int64()]
-            kinds += [pa.int64() if c in ("h", "before", "after") else pa.int32() for c in _ANCHOR]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out, kinds)], names)
+            kinds = [pa.int64(), *(types.get(c, pa.int32()) for c in _RUN)]
+            yield pa.record_batch(
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(v, t) for v, t in zip(out, kinds))],
+                ["doc_id", "row", *_RUN],
+            )
 
-    types = ", ".join(f"{c} {'long' if c in ('h', 'before', 'after') else 'int'}" for c in _ANCHOR)
+    fields = ", ".join(f"{c} {'long' if c in ('h', 'h2') else 'boolean' if c == 'ends' else 'int'}" for c in _RUN)
     found = stored(
-        docs.select("row", "doc_id", "text").mapInArrow(lines, f"doc_id {kind}, row long, {types}"), "lines"
+        docs.select("row", "doc_id", "text").mapInArrow(lines, f"doc_id {kind}, row long, {fields}"), "lines"
     )
     # Documents in order: by id, those without one last, equal ids by row.
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    fields = ["line", "before", "after", "anchor"]
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
     firsts = (
-        found.groupBy(F.col("h").alias("fh"))
-        .agg(F.min(F.struct(order.alias("o"), *fields)).alias("f"), F.count("*").alias("c"))
+        found.groupBy(F.col("h").alias("fh"), F.col("h2").alias("fh2"))
+        .agg(F.min(order).alias("f"), F.count("*").alias("c"))
         .filter("c > 1")
-        .select("fh", F.col("f.o.row").alias("first"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in fields))
-    )
-    shared = found.join(firsts, F.col("h") == F.col("fh")).filter("row <> first").withColumns(
-        {f"same_{side}": F.col(side) == F.col(f"f_{side}") for side in ("before", "after")}
+        .select("fh", "fh2", F.col("f.row").alias("first"), F.col("f.line").alias("f_line"))
     )
+    same = (F.col("h") == F.col("fh")) & (F.col("h2") == F.col("fh2"))
+    shared = found.join(firsts, same).filter("row <> first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        row, first, held, kept, out = None, None, [], [], []
         for pair in chain(rows_of(batches, "row", "first", *_SHARED), [(None, None)]):
-            if pair[:2] != key:
-                if key is not None:
-                    out += [(key[0], *block) for block in _blocks(held, min_block_words)]
-                key, held = pair[:2], []
+            if pair[:2] != (row, first):
+                kept += _aligned(held) if held and held[0][2] >= 0 else held[:1]
+                held = []
+            if pair[0] != row:
+                # A whole copy has a run at line -1, and that one is enough.
+                whole = any(r[2] < 0 for r in kept)
+                out += [(row, 0, -1)] if whole else [(row, *r) for r in _ranges(kept)]
+                kept = []
+            row, first = pair[:2]
             held.append(pair[2:])
-            if len(out) > 10_000 or pair[0] is None:
+            if len(out) > 10_000 or row is None:
                 columns = list(zip(*out)) or [(), (), ()]
                 kinds = (pa.int64(), pa.int32(), pa.int32())
-                yield pa.record_batch(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["row", "from", "to"]
-                )
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["row", "from", "to"])
                 out = []
 
     # A later document's rows share a task, a first one's do not: no group exceeds its document.
-    pairs = shared.select("row", "first", *_SHARED).repartition("row").sortWithinPartitions("row", "first", "line")
+    pairs = shared.select("row", "first", *_SHARED).repartition("row")
+    pairs = pairs.sortWithinPartitions("row", "first", "line", "stop")
     return pairs.mapInArrow(align, "row long, from int, to int")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, min_block_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 1, min_block_words: int = 8) -> DataFrame:
     """All columns of `docs`, `text` without its deleted blocks, and `n_lines`, `n_deleted`.
 
-    Lines that stay are joined by line feeds as before. Columns of these two names are replaced; all
+    A run of lines counts if one of them has `min_words` words. Lines that stay are joined by line feeds
+    as before. Columns of these two names are replaced; all
     others travel in one struct, so no name clashes.
     """
     row = F.xxhash64("doc_id", "text").alias("row")

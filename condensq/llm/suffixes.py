@@ -6,15 +6,22 @@
    `core` words after it inside the passage.
 2. Retained suffixes are sorted by their digest of `core` words, and each is compared with its
    neighbours: only those equal to one go on. Equal suffixes of any number cost a comparison each.
-3. Matches are extended: to the left as far as the window reaches, to the right by `length` words,
-   each start there is a candidate passage, and it counts if another suffix extends to the same one.
-   Passages that overlap or touch join into maximal spans.
+3. Those are a row each: the digests of the words after the core, in order, those of the words before
+   it, nearest first, and the places of both in the text. Sorted again, by core and the words after
+   it, neighbours share the longest beginnings. A stretch of the order is extended at once: a passage
+   is `l` words to the left and the rest to the right, and it counts if a second suffix of the same
+   core agrees in both. What a suffix covers is one interval, as all its passages overlap.
+   Cores at the edges of a stretch may go on in the next one: their passages become one row a
+   stretch with the suffixes they belong to, and those rows are added up.
+   Intervals that overlap or touch join into maximal spans.
 
 So a word is in a span exactly if a run of `length` words around it occurs at two or more places.
 
-Edge cases: null, empty and short texts have no passages; repeated rows repeat their passages, rows
-equal in id and text included; words are runs of anything but the six ASCII white-space characters.
-Digests of 64 bits stand for words sequences.
+Edge cases: null, empty and short texts have no passages, an empty table has no spans; very long texts
+are cut whole; repeated rows repeat their passages, and rows equal in id and text each get all spans;
+of equal passages `first_doc` is the smallest id, null only if no holder has one; columns other than
+doc_id and text are not read; words are runs of anything but the six ASCII white-space characters.
+Passages are equal if the 64-bit digest of the core and 48 bits of every other word are.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from condensq.llm.common import rows_of, slices, stored
@@ -85,11 +93,67 @@ def retained(words: np.ndarray, gram: int, window: int) -> np.ndarray:
     return np.unique(np.concatenate(chosen))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 5, window: int = 21) -> DataFrame:
+#: Bytes kept of the digest of a word beside a core.
+_WIDTH = 6
+
+
+def _packed(words: np.ndarray) -> np.ndarray:
+    """Rows of word digests as rows of bytes whose order is that of the numbers, word by word."""
+    return words.astype(">u8").view(np.uint8).reshape(*words.shape, 8)[..., 8 - _WIDTH :].reshape(len(words), -1)
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data), data.shape[1] // _WIDTH, 8), np.uint8)
+    out[..., 8 - _WIDTH :] = data.reshape(len(data), -1, _WIDTH)
+    return out.view(">u8")[..., 0].astype(np.uint64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1]
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows, np.uint8))]
+    return pa.Array.from_buffers(pa.binary(), len(rows), buffers)
+
+
+def _rows_of_bytes(column: pa.Array) -> np.ndarray:
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data.reshape(len(column), -1)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `rows`."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def passage_keys(core: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Column l: a digest of the core, `l` words before it and all but `l` of the words after it."""
+    ext = right.shape[1]
+    after, before = [core], [np.zeros_like(core)]
+    for m in range(ext):
+        after.append(_mix(after[-1] * _ODD + right[:, m]))
+        before.append(_mix(before[-1] * _ODD + left[:, m]))
+    return np.stack(
+        [_mix(after[ext - n] + _mix(before[n] + np.uint64(n + 1))) for n in range(ext + 1)], axis=1
+    )
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = 50, gram: int = 5, window: int = 21, stretch: int = 20_000
+) -> DataFrame:
     """(doc_id, start, stop, start_char, stop_char, first_doc): maximal spans of words in passages of
     `length` words that occur elsewhere too; first_doc is the smallest id with one of its passages.
 
-    `start` and `stop` count words, `start_char` and `stop_char` code points of the text.
+    `start` and `stop` count words, `start_char` and `stop_char` code points of the text. `stretch` is
+    the number of sorted suffixes a task extends at once; results do not depend on it.
     """
     if window + gram > length:
         raise ValueError("a passage has to hold a whole window of grams")
@@ -150,56 +214,136 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 5, window: int
     starts = compared.filter("not edge").select("row", "at").union(across.select("row", "at"))
     starts = starts.groupBy("row").agg(F.collect_set("at").alias("at"))  # of one document
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ext = window - 1
+    steps = np.arange(ext)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys, ids, rows, at = [], [], [], []
+            parts = []
             for i, (row, text, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "text", "at")))):
-                passages = run_digests(word_digests(text), length)
-                near = np.unique(np.subtract.outer(np.array(found, np.int64), np.arange(window)))
-                near = near[(near >= 0) & (near < len(passages))]
-                keys.append(passages[near].view(np.int64))
-                at.append(near.astype(np.int32))
-                rows.append(np.full(len(near), row, np.int64))
-                ids.append(np.full(len(near), i, np.int64))
-            if keys:
-                docs_of = batch.column("doc_id").take(pa.array(np.concatenate(ids)))
+                words, at = word_digests(text), np.array(found, np.int64)
+                first, last = word_places(text)
+                padded = np.concatenate([np.zeros(ext, np.uint64), words, np.zeros(ext, np.uint64)])
+                right = padded[ext + at[:, None] + core + steps]
+                left = padded[ext + at[:, None] - 1 - steps]
+                head = run_digests(words, core)[at]
+                begins = first[np.maximum(at[:, None] - np.arange(ext + 1), 0)].astype("<i4")
+                ends = last[np.minimum(at[:, None] + length - 1 - np.arange(ext + 1), len(words) - 1)].astype("<i4")
+                suffix = np.concatenate([head.astype(">u8").view(np.uint8).reshape(-1, 8), _packed(right)], axis=1)
+                # Places as differences from the place of the core's first word: small numbers.
+                places = np.stack([begins, ends], axis=1).reshape(len(at), -1) - first[at][:, None]
+                places = places.astype("<i4").view(np.uint8).reshape(len(at), -1)
+                n_left, n_right = np.minimum(at, ext), np.minimum(len(words) - at - core, ext)
+                parts.append((np.full(len(at), i), np.full(len(at), row), at, first[at], n_left, n_right, suffix, _packed(left), places))
+            if parts:
+                i, rows, *numbers, suffix, left, places = (np.concatenate(x) for x in zip(*parts))
                 yield pa.record_batch(
-                    [*(pa.array(np.concatenate(x)) for x in (keys, rows, at)), docs_of], ["key", "row", "at", "doc_id"]
-                )
+                    [batch.column("doc_id").take(pa.array(i)), pa.array(rows.astype(np.int64)),
+                     *(pa.array(x.astype(np.int32)) for x in numbers), *map(_binary, (suffix, left, places))],
+                    ["doc_id", "row", "at", "char", "n_left", "n_right", "suffix", "left", "places"],
+                )
 
-    texts = named.join(starts, "row")
-    passages = stored(
-        texts.select("doc_id", "row", "text", "at").mapInArrow(extend, f"key long, row long, at int, doc_id {kind}"),
-        "passages",
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a suffix covers (`key` null), and passages of cores that may go on beyond a stretch."""
+        for batch in _stretches(batches, stretch):
+            suffix, left = (_rows_of_bytes(batch.column(c)) for c in ("suffix", "left"))
+            heads = suffix[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+            keys = passage_keys(heads, _unpacked(suffix[:, 8:]), _unpacked(left))
+            n_left, n_right, at, char = (batch.column(c).to_numpy() for c in ("n_left", "n_right", "at", "char"))
+            places = _rows_of_bytes(batch.column("places")).copy().view("<i4").reshape(len(at), 2, ext + 1)
+            shifts = np.arange(ext + 1)
+            # (suffix, words to the left) of each passage inside its text
+            own, n = np.nonzero((shifts <= n_left[:, None]) & (ext - shifts <= n_right[:, None]))
+            if not len(own):
+                continue
+            docs_of = batch.column("doc_id")
+            order = pc.sort_indices(docs_of).to_numpy()  # nulls last
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            key = keys[own, n]
+            by_key = np.argsort(key, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], key[by_key][1:] != key[by_key][:-1]]))
+            counts = np.diff(np.append(edges, len(key)))
+            least = np.minimum.reduceat(rank[own[by_key]], edges)
+            start = at[own] - n
+            begins, ends = places[own, 0, n] + char[own], places[own, 1, n] + char[own]
+            open_core = (heads == heads[0]) | (heads == heads[-1])
+            group = np.repeat(np.arange(len(edges)), counts)
+            twice = by_key[(counts[group] > 1) & ~open_core[own[by_key]]]
+            rank_of = np.empty(len(key), np.int64)
+            rank_of[by_key] = least[group]
+            if len(twice):  # in order of suffixes, with more words to the left as the last
+                twice = np.sort(twice)
+                one = np.flatnonzero(np.concatenate([[True], own[twice][1:] != own[twice][:-1]]))
+                last = np.append(one[1:], len(twice)) - 1
+                low, high, who = twice[last], twice[one], own[twice[one]]
+                firsts = order[np.minimum.reduceat(rank_of[twice], one)]
+                struct = _member(batch, who, (at[who], start[low], start[high] + length, begins[low], ends[high]))
+                yield _extended(docs_of, np.arange(len(who) + 1), struct, None, None, np.ones(len(who)), firsts)
+            chosen = np.flatnonzero(open_core[own[by_key[edges]]])
+            if len(chosen):
+                members = by_key[np.isin(group, chosen)]
+                who = own[members]
+                struct = _member(batch, who, (at[who], start[members], start[members] + length, begins[members], ends[members]))
+                heads_of = heads[own[by_key[edges[chosen]]]]
+                yield _extended(
+                    docs_of, np.concatenate([[0], np.cumsum(counts[chosen])]), struct, heads_of,
+                    key[by_key[edges[chosen]]], counts[chosen], order[least[chosen]],
+                )
+
+    # Texts meet the places of their suffixes once; later steps have places in the text with them.
+    texts = named.join(starts, "row").select("doc_id", "row", "text", "at")
+    sorted_by = ["suffix", "row", "at"]
+    suffix_rows = texts.mapInArrow(
+        contexts,
+        f"doc_id {kind}, row long, at int, char int, n_left int, n_right int, suffix binary, left binary, places binary",
+    ).repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by)
+    member = f"struct<doc_id: {kind}, row: long, at: int, start: int, stop: int, start_char: int, stop_char: int>"
+    extended = stored(
+        suffix_rows.mapInArrow(extend, f"core long, key long, n long, first_doc {kind}, members array<{member}>"),
+        "extended",
     )
-    twice = passages.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_doc")).filter("c > 1")
-    covered = passages.join(twice.select("key", "first_doc"), "key").groupBy("row").agg(
-        F.collect_list(F.struct("at", "first_doc")).alias("found")  # of one document
+    ended, going_on = extended.filter("key is null"), extended.filter("key is not null")
+    total = going_on.groupBy(F.col("core").alias("_core"), F.col("key").alias("_key")).agg(
+        F.sum("n").alias("_n"), F.min("first_doc").alias("_first")
+    ).filter("_n > 1")
+    same = (F.col("core") == F.col("_core")) & (F.col("key") == F.col("_key"))
+    across = going_on.join(total, same).select("members", F.col("_first").alias("first_doc"))
+    found = ended.select("members", "first_doc").union(across).select(F.explode("members").alias("m"), "first_doc")
+    # Equal rows are there as often as they occur. All that follows is of one document.
+    place = ["doc_id", "start", "stop", "start_char", "stop_char"]
+    covered = found.select("m.*", "first_doc").repartition("row").groupBy("row", "at", *place).agg(
+        F.count(F.lit(1)).alias("times"), F.min("first_doc").alias("first_doc")
     )
+    before = Window.partitionBy("row").orderBy("start", "stop", "at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("start", "stop", "at").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True))
+    spans = covered.withColumn("_new", begins.cast("int")).withColumn("_span", F.sum("_new").over(upto))
+    spans = spans.groupBy("row", "_span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.min("start_char").alias("start_char"), F.max("stop_char").alias("stop_char"),
+        F.min("first_doc").alias("first_doc"), F.max("times").alias("times"),
+    )
+    repeated = spans.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select("doc_id", *(F.col(c).cast("long").alias(c) for c in place[1:]), "first_doc")
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            own, found = batch.column("doc_id"), batch.column("found")
-            ends, places = found.offsets.to_numpy(), found.values.field("at").to_numpy()
-            firsts = found.values.field("first_doc")
-            ids, columns, least = [], [[] for _ in range(4)], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                order = ends[i] + np.argsort(places[ends[i] : ends[i + 1]], kind="stable")
-                at = places[order].astype(np.int64)
-                last = np.flatnonzero(np.diff(at, append=np.iinfo(np.int64).max) > length)
-                first = np.concatenate([[0], last[:-1] + 1])
-                first_at, last_at = word_places(text)
-                start, stop = at[first], at[last] + length
-                for column, value in zip(columns, (start, stop, first_at[start], last_at[stop - 1])):
-                    column.append(value)
-                ids.append(np.full(len(first), i))
-                least += [pc.min(firsts.take(pa.array(order[a : b + 1]))).as_py() for a, b in zip(first, last)]
-            yield pa.record_batch(
-                [own.take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c).astype(np.int64)) for c in columns),
-                 pa.array(least, own.type)],
-                ["doc_id", "start", "stop", "start_char", "stop_char", "first_doc"],
-            )
-
-    return named.join(covered, "row").select("doc_id", "text", "found").mapInArrow(
-        spans, f"doc_id {kind}, start long, stop long, start_char long, stop_char long, first_doc {kind}"
+
+def _member(batch: pa.RecordBatch, who: np.ndarray, numbers: tuple[np.ndarray, ...]) -> pa.StructArray:
+    at = pa.array(who)
+    columns = [batch.column("doc_id").take(at), batch.column("row").take(at)]
+    columns += [pa.array(x.astype(np.int32)) for x in numbers]
+    return pa.StructArray.from_arrays(columns, ["doc_id", "row", "at", "start", "stop", "start_char", "stop_char"])
+
+
+def _extended(
+    docs_of: pa.Array, ends: np.ndarray, members: pa.StructArray, core: np.ndarray | None,
+    key: np.ndarray | None, n: np.ndarray, first: np.ndarray,
+) -> pa.RecordBatch:
+    rows = len(ends) - 1
+    none = pa.nulls(rows, pa.int64())
+    numbers = [none if x is None else pa.array(x.view(np.int64)) for x in (core, key)]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), members)
+    return pa.record_batch(
+        [*numbers, pa.array(n.astype(np.int64)), docs_of.take(pa.array(first)), lists],
+        ["core", "key", "n", "first_doc", "members"],
     )

@@ -1,5 +1,7 @@
 """Toxicity, repeated passages, line dedup, perplexity, SpotSigs and mixing."""
 
+import random
+from collections import Counter
 import hashlib
 import math
 import re
@@ -97,6 +99,20 @@ def test_repeated_spans_equal_brute_force(docs, empty, corpus_rows, length, gram
     assert suffixes.repeated_spans(empty).count() == 0
 
 
+def test_passages_of_cores_on_many_stretches(spark):
+    shared = " ".join(f"s{i}" for i in range(9))
+    rows = [(None, f"{shared} end{i % 3} of it and more words {i}") for i in range(3)]
+    rows += [(i, f"w{i % 4} v{i % 5} {shared} a{i % 3} b{i % 2} c{i} d e f g h") for i in range(40)]
+    rows += [(7, f"w3 v2 {shared} a1 b1 c7 d e f g h")] * 2 + [(50, None), (51, ""), (52, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = suffixes.repeated_spans(df, 12, 3, 5, stretch=3).collect()
+    whole = suffixes.repeated_spans(df, 12, 3, 5).collect()
+    assert sorted(map(str, some)) == sorted(map(str, whole))
+    known = [r for r in rows if r[0] is not None]
+    found = suffixes.repeated_spans(spark.createDataFrame(known, df.schema), 12, 3, 5, stretch=3).collect()
+    assert sorted((r["doc_id"], r["start"], r["stop"], r["first_doc"]) for r in found) == repeated(known, 12)
+
+
 def test_run_digests_depend_on_the_run_alone():
     w = suffixes.word_digests(" ".join(map(str, range(100))) + " x " + " ".join(map(str, range(100))))
     for n in (1, 2, 5, 30, 50, 64):
@@ -149,6 +165,67 @@ def test_line_dedup_loses_no_content(docs, empty, corpus_rows):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def blocks(text, least):
+    """Every block of whole lines with `least` words or more, first and last line with a word."""
+    lines_ = text.split("\n")
+    n = [len(WORD.findall(x)) for x in lines_]
+    for i in range(len(lines_)):
+        for j in range(i, len(lines_)):
+            if n[i] and n[j] and sum(n[i : j + 1]) >= least:
+                yield i, j, "\n".join(lines_[i : j + 1])
+
+
+def shared_blocks(texts, least):
+    """{id: blocks of it that a document of smaller id holds}, by comparing them all."""
+    seen, out = set(), {}
+    for doc in sorted(texts):
+        own = list(blocks(texts[doc], least))
+        out[doc] = [(i, j) for i, j, block in own if block in seen]
+        seen |= {block for *_, block in own}
+    return out
+
+
+def test_line_blocks_of_every_kind_go(spark):
+    long = [f"line {i} has words enough for a block by itself" for i in range(6)]
+    verse = [f"verse {i}" for i in range(30)]
+    texts = {
+        1: [*long[:3], *verse[:9]],
+        2: [*long[3:], *verse[20:]],
+        3: ["mine alone", *long[:2], "", "", *long[3:5], "also mine"],  # first holders 1 and 2
+        4: ["head", *verse[2:8], "tail of 4", *verse[22:27]],  # short lines only
+        5: [long[0], "between", long[0], "again", long[0]],  # repeated inside the later one
+        6: ["one two", "three four five six", "", "seven eight", "six only of 6"],
+        7: ["x", "one two", "three four five six", "", "seven eight", "", ""],
+        8: ["", "", *verse[:9], ""],
+        9: [*verse[:3], "verse 77"],  # six shared words: too few
+    }
+    texts = {k: "\n".join(v) for k, v in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    for doc, found in shared_blocks(texts, 8).items():
+        old = texts[doc].split("\n")
+        gone = {k for i, j in found for k in range(i, j + 1)}
+        assert [x for x in out[doc].split("\n") if x] == [x for k, x in enumerate(old) if x and k not in gone], doc
+    assert out[8] == "" and out[3] == "mine alone\nalso mine" and out[9] == texts[9]
+
+
+def test_only_lines_of_shared_blocks_go(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"p{i}w{k}" for k in range(rng.choice((1, 2, 3, 9)))) for i in range(25)] + [""]
+    texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    dropped = 0
+    for doc, found in shared_blocks(texts, 8).items():
+        gone = {x for i, j in found for x in texts[doc].split("\n")[i : j + 1]}
+        lost = Counter(texts[doc].split("\n")) - Counter(out[doc].split("\n"))
+        dropped += len(lost)
+        assert set(lost) <= gone | {""}
+        # An alignment keeps one run of each first holder at least.
+        assert not found or any(lost.values())
+    assert dropped
+
+
 # --- quality
 
 
