@@ -1,10 +1,10 @@
 """Toxicity, repeated passages, line dedup, perplexity, SpotSigs and mixing."""
 
-import random
-from collections import Counter
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
