@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import signal
 import subprocess
+import sys
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from multiprocessing import Pipe
 
@@ -132,42 +134,91 @@ def _killed(pid: int) -> None:
     os.waitpid(pid, 0)
 
 
-def supervised(fn: Callable, part: list, timeout: float):
-    """`fn(part, timeout)` in a process of its own, ended with its programs at the time limit.
+#: What a chunk does to start a process of its own, by the names Python's audit hooks have for it.
+_STARTS = {
+    "subprocess.Popen", "os.system", "os.fork", "os.forkpty", "os.posix_spawn", "os.spawn", "pty.spawn",
+}
 
-    Raises TimeoutError at the limit, RuntimeError where the process ends without an answer, and
-    what `fn` raises as RuntimeError with its name.
-    """
-    receiver, sender = Pipe(duplex=False)
-    pid = os.fork()
-    if not pid:
+
+def _alone(started: list[str]) -> bool:
+    """True if this process has started neither a program nor a thread that may outlive a chunk."""
+    try:
+        os.waitid(os.P_ALL, 0, os.WEXITED | os.WNOHANG | os.WNOWAIT)
+    except ChildProcessError:
+        return not started and threading.active_count() == 1
+    return False
+
+
+def _serve(fn: Callable, pipe) -> None:
+    """Answer chunk after chunk until the other end closes, or a chunk leaves something behind."""
+    started: list[str] = []
+    sys.addaudithook(lambda event, _: started.append(event) if event in _STARTS else None)
+    alone = True
+    while alone:
         try:
-            os.setpgid(0, 0)
-            receiver.close()
+            part, timeout = pipe.recv()
+        except EOFError:
+            return
+        try:
+            fine, answer = True, fn(part, timeout)
+        except Exception as exc:
+            fine, answer = False, f"{type(exc).__name__}: {exc}"
+        alone = _alone(started)
+        pipe.send((fine, answer, alone))
+
+
+class Supervised:
+    """`fn(part, timeout)` in a process beside this one, ended with its programs at the time limit.
+
+    The process answers many chunks, as starting one costs more than a short chunk. One that was too
+    slow, crashed or started programs or threads ends with its chunk, and the next chunk gets a new
+    one. Raises TimeoutError at the limit, RuntimeError where the process ends without an answer,
+    and what `fn` raises as RuntimeError with its name.
+    """
+
+    def __init__(self, fn: Callable):
+        self.fn = fn
+        self.pid = 0
+
+    def _start(self) -> None:
+        self.pipe, theirs = Pipe()
+        self.pid = os.fork()
+        if not self.pid:
             try:
-                answer = (True, fn(part, timeout))
-            except Exception as exc:
-                answer = (False, f"{type(exc).__name__}: {exc}")
-            sender.send(answer)
+                os.setpgid(0, 0)
+                self.pipe.close()
+                _serve(self.fn, theirs)
+            finally:
+                os._exit(0)  # nothing of the worker runs on in the child
+        theirs.close()
+        try:
+            os.setpgid(self.pid, self.pid)  # whichever of the two comes first
+        except (PermissionError, ProcessLookupError):
+            pass
+
+    def __call__(self, part: list, timeout: float):
+        if not self.pid:
+            self._start()
+        alone = False
+        try:
+            self.pipe.send((part, timeout))
+            if not self.pipe.poll(timeout):
+                raise TimeoutError(f"over {timeout:g} seconds")
+            fine, answer, alone = self.pipe.recv()
+        except (EOFError, ConnectionError):
+            raise RuntimeError("the process ended without an answer") from None
         finally:
-            os._exit(0)  # nothing of the worker runs on in the child
-    sender.close()
-    try:
-        os.setpgid(pid, pid)  # whichever of the two comes first
-    except (PermissionError, ProcessLookupError):
-        pass
-    try:
-        if not receiver.poll(timeout):
-            raise TimeoutError(f"over {timeout:g} seconds")
-        fine, answer = receiver.recv()
-    except EOFError:
-        raise RuntimeError("the process ended without an answer") from None
-    finally:
-        _killed(pid)
-        receiver.close()
-    if not fine:
-        raise RuntimeError(answer)
-    return answer
+            if not alone:
+                self.close()
+        if not fine:
+            raise RuntimeError(answer)
+        return answer
+
+    def close(self) -> None:
+        if self.pid:
+            _killed(self.pid)
+            self.pipe.close()
+            self.pid = 0
 
 
 def program(argv: Sequence[str]) -> Callable[[list[tuple[str, str]], float], dict[str, str]]:
@@ -199,13 +250,20 @@ def run_external(
     """Run a program on every sequence inside the tasks; each row comes back with a status.
 
     `fn(list of (key, seq), timeout)` returns key -> output text and may raise; it runs in a process
-    of its own for each chunk. A chunk that fails, crashes its process or is not done after
-    `timeout` seconds (then the process and what it started are killed) marks its own rows `failed`
-    and the rest go on; lengths outside the window are `skipped`. Rows reach `fn` in small chunks
-    whatever the partition size.
+    beside the task's, a new one wherever a chunk was too slow, crashed or started programs. A chunk
+    that fails, crashes its process or is not done after `timeout` seconds (then the process and what
+    it started are killed) marks its own rows `failed` and the rest go on; lengths outside the window
+    are `skipped`. Rows reach `fn` in small chunks whatever the partition size.
     """
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beside = Supervised(fn)
+        try:
+            yield from results(batches, beside)
+        finally:
+            beside.close()
+
+    def results(batches: Iterator[pd.DataFrame], beside: Supervised) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n = pdf[seq].fillna("").str.len()
             fit = (n >= min_len) & (n <= max_len)
@@ -217,7 +275,7 @@ def run_external(
             for i in range(0, len(todo), chunk):
                 part = todo[i:i + chunk]
                 try:
-                    got, error = supervised(fn, part, timeout), "no output"
+                    got, error = beside(part, timeout), "no output"
                 except TimeoutError as exc:
                     got, error = {}, f"timeout: {exc}"
                 except Exception as exc:  # one chunk must not end the task

@@ -1,5 +1,6 @@
 import os
 import random
+import subprocess
 import time
 from datetime import datetime, timedelta, timezone
 
@@ -171,6 +172,23 @@ def test_large_answers_pass(spark):
     assert len(G.run_external(df, lambda part, t: {k: s * 1000 for k, s in part}).first().output) == 3_000_000
 
 
+def test_chunks_share_a_process_until_one_starts_programs(spark):
+    df = spark.createDataFrame([(f"{i:02d}", "A" * 30) for i in range(12)], "key string, seq string").coalesce(1)
+
+    def program(part, timeout):
+        if part[0][0] in ("04", "08"):
+            subprocess.run(["true"])
+        if part[0][0] == "10":
+            raise ValueError("no")
+        return {k: str(os.getpid()) for k, _ in part}
+
+    got = {r.key: r for r in G.run_external(df, program, chunk=1, timeout=20.0).collect()}
+    pids = [got[f"{i:02d}"].output for i in range(12)]
+    assert got["10"].error == "ValueError: no" and pids.pop(10) is None
+    assert len(set(pids[:5])) == len(set(pids[5:9])) == len(set(pids[9:])) == 1
+    assert len(set(pids)) == 3
+
+
 # Intervals of any length ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("width", [1, 10, 1000])
