@@ -10,7 +10,7 @@ from condensq.config import BoostSettings, ForestSettings
 from condensq.operators import explain as X
 from condensq.operators import models as L
 from condensq.operators.metrics import areas, brier
-from condensq.session import checkpoint_dir
+from condensq.session import checkpoint_dir, dealt
 
 COLS = ["a", "b", "c"]
 
@@ -218,3 +218,14 @@ def test_projection(data):
     out = L.project_2d(filled, COLS)
     r = out.agg(F.var_samp("pc1"), F.var_samp("pc2"), F.corr("pc1", "pc2")).first()
     assert r[0] >= r[1] and abs(r[2]) < 1e-6
+
+
+def test_few_partitions_are_dealt_before_a_fit(spark):
+    df = spark.range(5000).selectExpr("id + 0.0 AS a", "sin(id) AS b", "CAST(id % 2 AS INT) AS class").coalesce(1)
+    slots = spark.sparkContext.defaultParallelism
+    assert dealt(df).rdd.getNumPartitions() == min(slots, 5)
+    assert dealt(df, 6000).rdd.getNumPartitions() == 1  # too small to deal
+    assert dealt(df.repartition(slots + 1)).rdd.getNumPartitions() == slots + 1
+    assert sorted(dealt(df).select("a").collect()) == sorted(df.select("a").collect())
+    model = L.fit_forest(df, ["a", "b"], params=ForestSettings(trees=2, max_depth=3))
+    assert model.stages[-1].getCacheNodeIds()
