@@ -2,7 +2,8 @@
 
 Every pair of different shingle sets with a Jaccard share of `threshold` or more is linked (prefix
 filter, whole sets compared), and components of links are groups. Texts of equal sets are one class
-beforehand, so copies make no pairs.
+beforehand, so copies make no pairs. With a `budget`, texts whose SimHash fingerprints (those of
+`simhash`) differ in that many bits at most are linked too, by the trie's self-join.
 
 Edge cases: texts without words (null counts as one) are a class of their own; a text of fewer words
 than a shingle is one run; ids may repeat or miss, as a row is known by its id and its text; of equal
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from condensq.llm import simhash
 from condensq.llm.common import components, slices
 from condensq.operators.similarity import alike_links, common_items, prefix_of
 from condensq.session import cut_lineage, fits
@@ -85,21 +87,24 @@ def _prefixes(docs: DataFrame, shingle: int, common: np.ndarray, threshold: floa
     return docs.select("text").mapInArrow(run, "item long, id long, n int, pos int")
 
 
-def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, doc_id, text_key, id): `id` is the digest of the row's shingle set."""
+def _classes(docs: DataFrame, shingle: int, prints: bool) -> DataFrame:
+    """(row, doc_id, text_key, id, fp): `id` is the digest of the row's shingle set, `fp` the SimHash
+    fingerprint if `prints` ask for it, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            sets = (shingle_set(t, shingle) for t in batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            sets = (shingle_set(t, shingle) for t in texts)
             ids = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([simhash.fingerprint_of(t) if prints else 0 for t in texts], np.int64)
             yield pa.record_batch(
-                [*(batch.column(c) for c in ("row", "doc_id", "text_key")), pa.array(ids)],
-                ["row", "doc_id", "text_key", "id"],
+                [*(batch.column(c) for c in ("row", "doc_id", "text_key")), pa.array(ids), pa.array(fps)],
+                ["row", "doc_id", "text_key", "id", "fp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(_row().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"row string, doc_id {kind}, text_key long, id long")
+    return rows.mapInArrow(run, f"row string, doc_id {kind}, text_key long, id long, fp long")
 
 
 def _row():
@@ -108,9 +113,20 @@ def _row():
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *digests)
 
 
-def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def _print_links(rows: DataFrame, budget: int) -> DataFrame:
+    """(src, dst): links between classes whose fingerprints differ in `budget` bits at most. A class
+    is linked to the least class of its fingerprint, and these by the trie's self-join."""
+    known = rows.select("id", "fp").distinct()
+    points = cut_lineage(known.groupBy("fp").agg(F.min("id").alias("rep")))
+    own = known.join(points, "fp").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    return own.union(simhash.links(points, budget))
+
+
+def near_classes(
+    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, budget: int | None = None
+) -> DataFrame:
     """(row, doc_id, component): a row for each row of `docs`."""
-    rows = cut_lineage(_classes(docs, shingle))
+    rows = cut_lineage(_classes(docs, shingle, budget is not None))
     one = rows.groupBy("id").agg(F.min("text_key").alias("text_key"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -122,16 +138,21 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> D
     # One text in 16, chosen before it is cut: all that the order of common items needs.
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
     prefixes = _prefixes(docs, shingle, common_items(_sets(some, shingle), share=1), threshold)
-    links = components(alike_links(prefixes, sets_of, threshold), "src", "dst")
+    links = alike_links(prefixes, sets_of, threshold).select("src", "dst")
+    if budget is not None:
+        links = links.union(_print_links(rows, budget))
+    links = components(links, "src", "dst")
     named = rows.join(links, F.col("id") == F.col("node"), "left")
     return named.select("row", "doc_id", F.coalesce("component", "id").alias("component"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, budget: int | None = None
+) -> DataFrame:
     """The row of the smallest (doc_id, text digest) of each component, with all its columns; rows
     without an id come last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = near_classes(docs, shingle, threshold).groupBy("component").agg(first.alias("first"))
+    kept = near_classes(docs, shingle, threshold, budget).groupBy("component").agg(first.alias("first"))
     kept = kept.select(F.col("first.row").alias("_row"))
     found = docs.withColumn("_row", _row()).join(kept, "_row", "left_semi")
     return found.dropDuplicates(["_row"]).drop("_row")

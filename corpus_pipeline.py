@@ -53,6 +53,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _given_back(near_copies.one_of_each(_carried(docs), shingle=5, threshold=0.8), docs)
 
 
+def one_of_near_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As `one_of_near_copies`, of groups that SimHash fingerprints link too: those of `op1_simhash`,
+    which differ in 2 bits at most. The shingles find the near copies that lie further apart."""
+    found = near_copies.one_of_each(_carried(docs), shingle=5, threshold=0.8, budget=2)
+    return _given_back(found, docs)
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, as often as it takes them. Texts without words are not taken."""
     return _given_back(mixing.mixed(_carried(docs, "source")), docs)
@@ -66,7 +73,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("toxicity", without_toxic),
     ("line_dedup", without_repeated_lines),
-    ("simhash", one_of_near_copies),
+    ("simhash", one_of_near_fingerprints),
     ("mixing", mixed_sources),
     ("packing", packed_sequences),
 ]

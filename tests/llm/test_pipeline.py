@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from condensq.llm.common import stored
 from condensq.llm.near_copies import shingle_set
+from condensq.llm.simhash import fingerprint_of
 from tests.llm.conftest import SCHEMA
 
 CLASHING = ("_row", "a.b", "rejected", "n_lines", "n_deleted", "sources", "_doc", "row", "key", "_others", "_times")
@@ -103,3 +104,16 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_documents_of_near_fingerprints_are_one_group(spark, tmp_path):
+    """Their shingle sets are far apart, as one phrase repeats; their SimHash fingerprints are not."""
+    same = "one phrase that comes again and again " * 60
+    rows = [(1, same, "en", "a", 0), (2, same + "until some other words end this text at last", "en", "a", 0),
+            (3, "a text of its own that nobody else has", "en", "a", 0)]
+    one, two = (set(shingle_set(r[1]).tolist()) for r in rows[:2])
+    assert len(one & two) / len(one | two) < 0.8
+    assert bin(fingerprint_of(rows[0][1]) ^ fingerprint_of(rows[1][1])).count("1") <= 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
