@@ -11,6 +11,7 @@ from condensq.operators.aggregates import summarise_columns
 from condensq.operators.metrics import metric_table
 from condensq.operators.models import fit_medians, impute, score
 from condensq.operators.ranking import running_totals
+from condensq.session import cut_lineage
 
 
 def _bounds(long: DataFrame) -> DataFrame:
@@ -111,7 +112,8 @@ def classification_report(
     both = ref.withColumn("dataset", F.lit("reference")).unionByName(
         cur.withColumn("dataset", F.lit("current")), allowMissingColumns=True
     )
-    return metric_table(score(impute(both, medians), model), ["dataset"])
+    # Metrics read the scores several times; the model walks them once.
+    return metric_table(cut_lineage(score(impute(both, medians), model)), ["dataset"])
 
 
 def request_metrics(

@@ -10,7 +10,8 @@ from condensq.config import BoostSettings, ForestSettings
 from condensq.operators import explain as X
 from condensq.operators import models as L
 from condensq.operators.metrics import areas, brier
-from condensq.session import checkpoint_dir, dealt
+from condensq.operators.monitoring import classification_report
+from condensq.session import checkpoint_dir, dealt, parted
 
 COLS = ["a", "b", "c"]
 
@@ -229,3 +230,39 @@ def test_few_partitions_are_dealt_before_a_fit(spark):
     assert sorted(dealt(df).select("a").collect()) == sorted(df.select("a").collect())
     model = L.fit_forest(df, ["a", "b"], params=ForestSettings(trees=2, max_depth=3))
     assert model.stages[-1].getCacheNodeIds()
+
+
+def test_groups_of_trees_are_one_forest(spark, data, monkeypatch):
+    _, filled, _ = data
+    train = filled.where("split = 'train'")
+    monkeypatch.setattr(L, "GROVE", 3)
+    params = ForestSettings(trees=8, max_depth=6)
+    model = L.fit_forest(train, COLS, params=params)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == len(forest.trees) == 8
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 8  # groups draw their own rows
+    path = f"{checkpoint_dir(spark)}/groups"
+    L.save_bundle(L.Bundle(model, COLS, {c: 0.0 for c in COLS}), path, spark)
+    again = L.fit_forest(train, COLS, params=params)  # a seed gives one forest
+    want = [r.prob_pos for r in L.score(filled, model).orderBy("gene_id").collect()]
+    for other in (again, L.load_bundle(path, spark).model):
+        assert [r.prob_pos for r in L.score(filled, other).orderBy("gene_id").collect()] == want
+    # The score is the mean of the trees.
+    rows = model.stages[0].transform(filled).select("gene_id", "vector").orderBy("gene_id").limit(5).collect()
+    for r, p in zip(rows, want):
+        votes = [t.predictProbability(r.vector)[1] for t in forest.trees]
+        assert p == pytest.approx(sum(votes) / 8)
+
+
+def test_parts_depend_on_rows_alone(spark):
+    df = spark.range(5000)
+    assert parted(df).rdd.getNumPartitions() == 1 and parted(df, 1000).rdd.getNumPartitions() == 5
+    assert parted(df.repartition(3), 2000).rdd.getNumPartitions() == 3
+    assert parted(df.limit(0)).rdd.getNumPartitions() == 1
+
+
+def test_metrics_do_not_score_again(spark, data, forest):
+    """The plan of a report reads stored scores: the model is in it no more."""
+    df, _, _ = data
+    out = classification_report(df.where("split = 'train'"), df.where("split = 'test'"), forest, COLS)
+    assert out.count() == 2 and "UDF" not in out._jdf.queryExecution().logical().toString()
