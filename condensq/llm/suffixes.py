@@ -12,7 +12,7 @@
    is `l` words to the left and the rest to the right, and it counts if a second suffix of the same
    core agrees in both. What a suffix covers is one interval, as all its passages overlap.
    Cores at the edges of a stretch may go on in the next one: their passages become one row a
-   stretch with the suffixes they belong to, and those rows are added up.
+   stretch and are added up, and suffixes with the same passages become one row that asks for them.
    Intervals that overlap or touch join into maximal spans.
 
 So a word is in a span exactly if a run of `length` words around it occurs at two or more places.
@@ -244,7 +244,8 @@ def repeated_spans(
                 )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a suffix covers (`key` null), and passages of cores that may go on beyond a stretch."""
+        """What a suffix covers (`member`), and of cores that may go on beyond a stretch how often their
+        passages occur (`key`), and which suffixes have the same passages (`members` and `passages`)."""
         for batch in _stretches(batches, stretch):
             suffix, left = (_rows_of_bytes(batch.column(c)) for c in ("suffix", "left"))
             heads = suffix[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
@@ -279,17 +280,16 @@ def repeated_spans(
                 low, high, who = twice[last], twice[one], own[twice[one]]
                 firsts = order[np.minimum.reduceat(rank_of[twice], one)]
                 struct = _member(batch, who, (at[who], start[low], start[high] + length, begins[low], ends[high]))
-                yield _extended(docs_of, np.arange(len(who) + 1), struct, None, None, np.ones(len(who)), firsts)
+                yield _ended(docs_of, struct, firsts)
             chosen = np.flatnonzero(open_core[own[by_key[edges]]])
             if len(chosen):
-                members = by_key[np.isin(group, chosen)]
-                who = own[members]
-                struct = _member(batch, who, (at[who], start[members], start[members] + length, begins[members], ends[members]))
-                heads_of = heads[own[by_key[edges[chosen]]]]
-                yield _extended(
-                    docs_of, np.concatenate([[0], np.cumsum(counts[chosen])]), struct, heads_of,
-                    key[by_key[edges[chosen]]], counts[chosen], order[least[chosen]],
-                )
+                yield _counted(
+                    docs_of, heads[own[by_key[edges[chosen]]]], key[by_key[edges[chosen]]], counts[chosen], order[least[chosen]]
+                )
+                inside = np.zeros(keys.shape, bool)
+                inside[own, n] = True
+                who = np.flatnonzero(open_core & inside.any(axis=1))
+                yield _going_on(batch, who, keys[who], inside[who], places[who] + char[who][:, None, None], heads[who])
 
     # Texts meet the places of their suffixes once; later steps have places in the text with them.
     texts = named.join(starts, "row").select("doc_id", "row", "text", "at")
@@ -298,21 +298,40 @@ def repeated_spans(
         contexts,
         f"doc_id {kind}, row long, at int, char int, n_left int, n_right int, suffix binary, left binary, places binary",
     ).repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by)
+    place = ["doc_id", "start", "stop", "start_char", "stop_char"]
     member = f"struct<doc_id: {kind}, row: long, at: int, start: int, stop: int, start_char: int, stop_char: int>"
+    one = f"struct<doc_id: {kind}, row: long, at: int, begins: array<int>, ends: array<int>>"
     extended = stored(
-        suffix_rows.mapInArrow(extend, f"core long, key long, n long, first_doc {kind}, members array<{member}>"),
+        suffix_rows.mapInArrow(
+            extend,
+            f"core long, key long, n long, first_doc {kind}, member {member}, "
+            f"passages array<struct<key: long, shift: int>>, members array<{one}>",
+        ),
         "extended",
     )
-    ended, going_on = extended.filter("key is null"), extended.filter("key is not null")
-    total = going_on.groupBy(F.col("core").alias("_core"), F.col("key").alias("_key")).agg(
+    ended = extended.filter("member is not null").select("member.*", "first_doc")
+    total = extended.filter("key is not null").groupBy(F.col("core").alias("_core"), F.col("key").alias("_key")).agg(
         F.sum("n").alias("_n"), F.min("first_doc").alias("_first")
     ).filter("_n > 1")
-    same = (F.col("core") == F.col("_core")) & (F.col("key") == F.col("_key"))
-    across = going_on.join(total, same).select("members", F.col("_first").alias("first_doc"))
-    found = ended.select("members", "first_doc").union(across).select(F.explode("members").alias("m"), "first_doc")
+    # Suffixes with the same passages meet the counts once, by their first one; all its passages overlap.
+    alike = extended.filter("members is not null").select(
+        "core", F.col("members")[0]["row"].alias("_row"), F.col("members")[0]["at"].alias("_at"), "passages", "members"
+    )
+    each = alike.select("core", "_row", "_at", F.explode("passages").alias("p"))
+    same = (F.col("core") == F.col("_core")) & (F.col("p.key") == F.col("_key"))
+    met = each.join(total, same).groupBy("_row", "_at").agg(
+        F.min("p.shift").alias("_low"), F.max("p.shift").alias("_high"), F.min("_first").alias("first_doc")
+    )
+    across = alike.select("_row", "_at", "members").join(met, ["_row", "_at"]).select(
+        F.explode("members").alias("m"), "_low", "_high", "first_doc"
+    ).select(
+        "m.doc_id", "m.row", "m.at", (F.col("m.at") - F.col("_high")).alias("start"),
+        (F.col("m.at") - F.col("_low") + length).alias("stop"), F.get("m.begins", "_high").alias("start_char"),
+        F.get("m.ends", "_low").alias("stop_char"), "first_doc",
+    )
+    found = ended.unionByName(across)
     # Equal rows are there as often as they occur. All that follows is of one document.
-    place = ["doc_id", "start", "stop", "start_char", "stop_char"]
-    covered = found.select("m.*", "first_doc").repartition("row").groupBy("row", "at", *place).agg(
+    covered = found.repartition("row").groupBy("row", "at", *place).agg(
         F.count(F.lit(1)).alias("times"), F.min("first_doc").alias("first_doc")
     )
     before = Window.partitionBy("row").orderBy("start", "stop", "at").rowsBetween(Window.unboundedPreceding, -1)
@@ -335,15 +354,62 @@ def _member(batch: pa.RecordBatch, who: np.ndarray, numbers: tuple[np.ndarray, .
     return pa.StructArray.from_arrays(columns, ["doc_id", "row", "at", "start", "stop", "start_char", "stop_char"])
 
 
-def _extended(
-    docs_of: pa.Array, ends: np.ndarray, members: pa.StructArray, core: np.ndarray | None,
-    key: np.ndarray | None, n: np.ndarray, first: np.ndarray,
-) -> pa.RecordBatch:
-    rows = len(ends) - 1
-    none = pa.nulls(rows, pa.int64())
-    numbers = [none if x is None else pa.array(x.view(np.int64)) for x in (core, key)]
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), members)
+_COLUMNS = ["core", "key", "n", "first_doc", "member", "passages", "members"]
+
+
+def _row_batch(rows: int, doc_id: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+    """The given columns of an extended stretch, others null."""
+    ints = [("doc_id", doc_id), ("row", pa.int64()), ("at", pa.int32())]
+    member = pa.struct([*ints, *((c, pa.int32()) for c in ("start", "stop", "start_char", "stop_char"))])
+    one = pa.struct([*ints, ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    passage = pa.struct([("key", pa.int64()), ("shift", pa.int32())])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), doc_id, member, pa.list_(passage), pa.list_(one)]
     return pa.record_batch(
-        [*numbers, pa.array(n.astype(np.int64)), docs_of.take(pa.array(first)), lists],
-        ["core", "key", "n", "first_doc", "members"],
+        [columns[c].cast(t) if c in columns else pa.nulls(rows, t) for c, t in zip(_COLUMNS, kinds)], _COLUMNS
     )
+
+
+def _ended(docs_of: pa.Array, members: pa.StructArray, first: np.ndarray) -> pa.RecordBatch:
+    return _row_batch(len(members), docs_of.type, member=members, first_doc=docs_of.take(pa.array(first)))
+
+
+def _counted(
+    docs_of: pa.Array, core: np.ndarray, key: np.ndarray, n: np.ndarray, first: np.ndarray
+) -> pa.RecordBatch:
+    return _row_batch(
+        len(key), docs_of.type, core=pa.array(core.view(np.int64)), key=pa.array(key.view(np.int64)),
+        n=pa.array(n.astype(np.int64)), first_doc=docs_of.take(pa.array(first)),
+    )
+
+
+def _going_on(
+    batch: pa.RecordBatch, who: np.ndarray, keys: np.ndarray, inside: np.ndarray, places: np.ndarray, core: np.ndarray
+) -> pa.RecordBatch:
+    """A row for all suffixes that have the same passages: these, and the suffixes with their places."""
+    table = np.ascontiguousarray(np.concatenate([np.where(inside, keys, 0), inside], axis=1, dtype=np.uint64))
+    whole = table.view(np.dtype((np.void, table.shape[1] * 8)))[:, 0]
+    _, one, group = np.unique(whole, return_index=True, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(one)))]).astype(np.int32)
+    of, shift = np.nonzero(inside[one])
+    passages = pa.StructArray.from_arrays(
+        [pa.array(keys[one][of, shift].view(np.int64)), pa.array(shift.astype(np.int32))], ["key", "shift"]
+    )
+    bounds = np.concatenate([[0], np.cumsum(inside[one].sum(axis=1))]).astype(np.int32)
+    at, shifts = pa.array(who[by_group]), places.shape[2]
+    lists = [
+        pa.ListArray.from_arrays(
+            pa.array(np.arange(len(who) + 1, dtype=np.int32) * np.int32(shifts)),
+            pa.array(np.ascontiguousarray(places[by_group, side]).reshape(-1).astype(np.int32)),
+        )
+        for side in (0, 1)
+    ]
+    members = pa.StructArray.from_arrays(
+        [*(batch.column(c).take(at) for c in ("doc_id", "row", "at")), *lists],
+        ["doc_id", "row", "at", "begins", "ends"],
+    )
+    return _row_batch(
+        len(one), batch.column("doc_id").type, core=pa.array(core[one].view(np.int64)),
+        passages=pa.ListArray.from_arrays(pa.array(bounds), passages),
+        members=pa.ListArray.from_arrays(pa.array(ends), members),
+    )

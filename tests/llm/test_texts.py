@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from condensq.llm import lines, mixing, perplexity, spotsigs, suffixes, toxicity
@@ -99,6 +100,20 @@ def test_repeated_spans_equal_brute_force(docs, empty, corpus_rows, length, gram
     assert suffixes.repeated_spans(empty).count() == 0
 
 
+def test_a_suffix_of_a_core_on_many_stretches_is_one_row():
+    """Not one for each of its passages: suffixes with the same passages share a row of counts."""
+    batch = pa.record_batch({"doc_id": [5, 6, 7], "row": [50, 60, 70], "at": pa.array([3, 4, 5], pa.int32())})
+    keys = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 9]], np.uint64)
+    inside = np.array([[True, True, False]] * 2 + [[False, True, True]])
+    places = np.arange(18).reshape(3, 2, 3)
+    out = suffixes._going_on(batch, np.arange(3), keys, inside, places, np.full(3, 8, np.uint64)).to_pylist()
+    found = {tuple(m["doc_id"] for m in r["members"]): r for r in out}
+    assert sorted(found) == [(5, 6), (7,)]
+    assert [(p["key"], p["shift"]) for p in found[5, 6]["passages"]] == [(1, 0), (2, 1)]
+    assert [(p["key"], p["shift"]) for p in found[7,]["passages"]] == [(2, 1), (9, 2)]
+    assert found[5, 6]["members"][1] == {"doc_id": 6, "row": 60, "at": 4, "begins": [6, 7, 8], "ends": [9, 10, 11]}
+
+
 def test_passages_of_cores_on_many_stretches(spark):
     shared = " ".join(f"s{i}" for i in range(9))
     rows = [(None, f"{shared} end{i % 3} of it and more words {i}") for i in range(3)]
