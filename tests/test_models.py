@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from condensq.config import BoostSettings, ForestSettings
 from condensq.operators import explain as X
+from condensq.operators import forests as R
 from condensq.operators import models as L
 from condensq.operators.metrics import areas, brier
 from condensq.operators.monitoring import classification_report
@@ -266,3 +267,60 @@ def test_metrics_do_not_score_again(spark, data, forest):
     df, _, _ = data
     out = classification_report(df.where("split = 'train'"), df.where("split = 'test'"), forest, COLS)
     assert out.count() == 2 and "UDF" not in out._jdf.queryExecution().logical().toString()
+
+
+def test_forests_make_no_object_for_each_tree(spark, data, monkeypatch):
+    """Neither a fit nor a load nor a score lists the trees in Python, and scores are those of Spark."""
+    from pyspark.ml import classification
+    from pyspark.ml.functions import vector_to_array
+
+    made = []
+    build = classification.DecisionTreeClassificationModel.__init__
+    monkeypatch.setattr(
+        classification.DecisionTreeClassificationModel, "__init__",
+        lambda self, java=None: (made.append(1), build(self, java))[1],
+    )
+    monkeypatch.setattr(L, "GROVE", 4)
+    monkeypatch.setattr(R, "SAVED", 3)
+    _, filled, _ = data
+    model = L.fit_forest(filled.where("split = 'train'"), COLS, params=ForestSettings(trees=8, max_depth=30))
+    path = f"{checkpoint_dir(spark)}/quiet"
+    L.save_bundle(L.Bundle(model, COLS, {c: 0.0 for c in COLS}), path, spark)
+    again = L.load_bundle(path, spark).model
+    out = L.score(L.score(filled, model), again, "again")
+    assert not made
+    want = model.transform(filled).select("gene_id", vector_to_array("probability")[1].alias("want"))
+    rows = out.join(want, "gene_id").select("prob_pos", "again", "want").collect()
+    assert len(rows) == 400 and all(r.prob_pos == r.again == r.want for r in rows)
+    with pytest.raises(Exception, match="impute first"):
+        L.score(filled.withColumn("b", F.lit(None).cast("double")), model).collect()
+
+
+def test_rows_meet_the_leaves_of_all_trees(spark, data):
+    """Sums over leaves by blocks are the forest's score; each row lies in one leaf of each tree."""
+    _, filled, _ = data
+    model = L.fit_forest(filled.where("split = 'train'"), COLS, params=ForestSettings(trees=9, max_depth=30))
+    leaves = X.leaf_table(X.node_table(model.stages[-1], spark)).cache()
+    rows = L.score(filled, model)
+    out = X.forest_leaf_sums(rows, leaves, COLS, "gene_id", rows_per_block=150, trees_per_group=4)
+    got = rows.join(out, F.col("gene_id") == F.col("key")).select("prob_pos", "total", "met").collect()
+    assert len(got) == 400
+    assert all(r.met == 9 and r.total / 9 == pytest.approx(r.prob_pos, abs=1e-12) for r in got)
+
+
+def test_bounds_are_looked_up_once(data, monkeypatch):
+    """Leaves with the same bounds share the rows inside, whether or not all can be kept."""
+    rng = np.random.default_rng(3)
+    x = rng.random((50, 14))
+    leaves = []
+    for k in (1, 3, 13, 13):
+        f = [int(i) for i in rng.permutation(14)[:k]]
+        leaves.append((rng.random(), f, [0.25] * k, [0.75] * k, list(rng.random(k))))
+    want = X.attribute_rows(x, leaves)
+    counts = []
+    within = X._within
+    monkeypatch.setattr(X, "_within", lambda c, held, *a: (counts.append(a in held), within(c, held, *a))[1])
+    got = X.attribute_rows(x, leaves)
+    assert np.array_equal(got[0], want[0]) and counts.count(False) <= 14 < len(counts)
+    monkeypatch.setattr(X, "HELD", 2)
+    assert np.array_equal(X.attribute_rows(x, leaves)[0], want[0])
