@@ -33,8 +33,11 @@ def transcript_meta(annotation: DataFrame) -> DataFrame:
         F.when(tx, attr("transcript_biotype")).alias("biotype"),
         F.when(tx, F.coalesce(attr("tag"), F.lit("")).contains("canonical")).alias("canonical"),
     )
+    # Texts are aggregated in sorted order: lines of a transcript come together first, so a task sorts
+    # its share of the transcripts and not a whole split of the file.
     return (
         rows.where("transcript_id IS NOT NULL")
+        .repartition("gene_id", "transcript_id")
         .groupBy("gene_id", "transcript_id")
         .agg(
             F.count_if(F.col("feature") == "exon").alias("n_exons"),

@@ -141,3 +141,16 @@ def test_annotation_summaries(spark, rows):
         2, True, "protein_coding", 1, 90)
     only = spark.createDataFrame([("t",)], "transcript_id string")
     assert rows(T.region_lengths(ann, only)) == [("t", 10, 41, 20)]
+
+
+def test_lines_of_a_transcript_meet_before_they_are_sorted(spark):
+    """Texts need a sort-based aggregate; it sorts a share of the transcripts, not a split of the file."""
+    ann = spark.range(50).selectExpr(
+        "CASE WHEN id % 5 = 0 THEN 'transcript' ELSE 'exon' END AS feature", "id AS start", "id + 9 AS end",
+        "'1' AS seqname", "'+' AS strand",
+        "map('gene_id', string(id % 3), 'transcript_id', string(id % 10), 'transcript_biotype', 'x') AS attrs",
+    )
+    out = T.transcript_meta(ann)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate") < plan.index("Exchange hash")
+    assert sum(r.n_exons for r in out.collect()) == 40
