@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from condensq.functions.arrays import by_strength, top_k_abs
 from condensq.session import fits
@@ -22,6 +24,8 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 # Fixed values end.
 MAX_BROADCAST_QUERIES = 4096
 SLICE = 2048
+#: Texts that are cut into chunks at a time.
+TEXTS = 128
 
 
 # Chunking ------------------------------------------------------------------------------------
@@ -71,6 +75,21 @@ def pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in chunks if c]
 
 
+def _chunk_rows(
+    batches: Iterator[pa.RecordBatch], rest: list[str], text: str, size: int, overlap: int
+) -> Iterator[pa.RecordBatch]:
+    """Chunks of a few texts at a time: a batch may hold thousands, whose pieces take many times their room."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(start, TEXTS)
+            found = [pack(_pieces(t, size, 0), size, overlap) if t else [] for t in batch.column(text).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            numbers = pa.array([i for f in found for i in range(len(f))], pa.int32())
+            chunks = pa.array([c for f in found for c in f], pa.string())
+            columns = [*(batch.column(c).take(at) for c in rest), numbers, chunks]
+            yield pa.record_batch(columns, [*rest, "chunk", "chunk_text"])
+
+
 def chunk_text(
     df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     mode: str = "recursive",
@@ -79,12 +98,10 @@ def chunk_text(
     if mode == "fixed":
         return chunk_fixed(df, key, text, size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack(_pieces(t, size, 0), size, overlap) if t else [])
-
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(split(text)).alias("chunk", "chunk_text"))
+    kinds = [df.schema[c] for c in rest]
+    schema = T.StructType([*kinds, T.StructField("chunk", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
+    return df.mapInArrow(lambda batches: _chunk_rows(batches, rest, text, size, overlap), schema)
 
 
 class _ChunkRows:

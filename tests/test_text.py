@@ -228,3 +228,15 @@ def test_character_runs(spark):
     df = spark.createDataFrame([("ABCAB",), ("AB",), ("",)], "t string")
     assert [len(r.items) for r in M.shingles(df, "t", 2).select("items").collect()] == [3, 1, 0]
     assert len(M.shingles(df, "t", 3).first()["items"]) == 3
+
+
+def test_chunks_of_a_large_batch_come_in_parts():
+    """A batch of any number of texts is cut a few texts at a time."""
+    import pyarrow as pa
+
+    texts = [None if i % 50 == 7 else "ab cd. " * (i % 40) for i in range(1000)]
+    whole = pa.record_batch([pa.array(range(1000)), pa.array(texts, pa.string())], ["k", "t"])
+    parts = list(P._chunk_rows(iter([whole]), ["k"], "t", 100, 20))
+    assert all(len(set(p.column("k").to_pylist())) <= P.TEXTS for p in parts)
+    got = [(r["k"], r["chunk"], r["chunk_text"]) for p in parts for r in p.to_pylist()]
+    assert got == [(k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(P.pack(P._pieces(t, 100, 0), 100, 20))]
