@@ -237,7 +237,7 @@ _HITS = "query_id long, chunk_id long, score double"
 
 def top_k(
     queries: DataFrame, chunks: DataFrame, k: int = 5, digits: int | None = 4,
-    max_broadcast: int = MAX_BROADCAST_QUERIES, block: int = 4096, corpus_block: int = 32_768,
+    max_broadcast: int = MAX_BROADCAST_QUERIES, block: int = 8192, corpus_block: int = 32_768,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k most similar chunks of every query, exact.
 
@@ -277,7 +277,8 @@ def _top_k_blocks(
 ) -> DataFrame:
     """Every query block meets every corpus block once; blocks are drawn by id hash.
 
-    A corpus block is the larger one, so queries are copied less often; it is scored in slices.
+    A corpus block is the larger one, so queries are copied less often; it is scored in slices. What
+    is shuffled grows with the number of blocks, so blocks are as large as a task has room for.
     """
     qn = max(1, -(-queries.count() // block))
     cn = max(1, -(-chunks.count() // corpus_block))

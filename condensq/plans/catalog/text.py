@@ -125,7 +125,7 @@ SELECT query_id, k::INTEGER AS "rank", round(s, 4) AS score FROM r WHERE k <= 3"
 def topk_all_vectors(spark, d):
     """Every vector against every other; forced onto the block path."""
     q = corpus(spark, d).withColumnRenamed("chunk_id", "query_id")
-    out = P.top_k(q, corpus(spark, d), 3, max_broadcast=0, block=256, corpus_block=512, digits=None)
+    out = P.top_k(q, corpus(spark, d), 3, max_broadcast=0, digits=None)
     return out.select("query_id", "rank", F.round("score", 4).alias("score"))
 
 

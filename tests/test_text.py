@@ -240,3 +240,14 @@ def test_chunks_of_a_large_batch_come_in_parts():
     assert all(len(set(p.column("k").to_pylist())) <= P.TEXTS for p in parts)
     got = [(r["k"], r["chunk"], r["chunk_text"]) for p in parts for r in p.to_pylist()]
     assert got == [(k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(P.pack(P._pieces(t, 100, 0), 100, 20))]
+
+
+def test_all_vectors_meet_in_large_blocks(spark, monkeypatch):
+    """What is shuffled grows with the number of blocks: a vector is copied once for every 8192."""
+    from condensq.plans.catalog import text
+
+    seen = []
+    blocks = P._top_k_blocks
+    monkeypatch.setattr(P, "_top_k_blocks", lambda *a: (seen.append(a[3:]), blocks(*a))[1])
+    assert not text.topk_all_vectors(spark, "/root/testdata/sf0.001").isEmpty()
+    assert min(seen[0]) >= 8192
