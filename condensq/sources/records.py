@@ -26,17 +26,16 @@ def parse_attributes(df: DataFrame, text: str, name: str = "attrs") -> DataFrame
             F.regexp_extract(p, r'"([^"]*)"', 1).alias("v"),
         ),
     )
-    out = df.withColumn("_pairs", pairs)
-    out = out.withColumn("_keys", F.array_distinct(F.transform("_pairs", lambda p: p["k"])))
-    entry = lambda k: F.struct(
-        k.alias("key"),
-        F.array_join(
-            F.transform(F.filter("_pairs", lambda p: p["k"] == k), lambda p: p["v"]), ","
-        ).alias("value"),
-    )
-    return out.withColumn(name, F.map_from_entries(F.transform("_keys", entry))).drop(
-        "_pairs", "_keys"
-    )
+
+    def as_map(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda p: p["k"]))
+        values = lambda k: F.transform(F.filter(found, lambda p: p["k"] == k), lambda p: p["v"])
+        return F.map_from_entries(
+            F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_join(values(k), ",").alias("value")))
+        )
+
+    # The pairs are the argument of a lambda, so no plan works them out twice for a line.
+    return df.withColumn(name, F.get(F.transform(F.array(pairs), as_map), 0))
 
 
 def read_annotation(
@@ -71,12 +70,16 @@ def filter_annotation(ann: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
             "gene_id": F.try_element_at("attrs", F.lit("gene_id")),
         }
     )
-    own = rows.join(targets.select("transcript_id"), "transcript_id", "left_semi")
-    genes = rows.where("feature = 'gene'").join(
-        own.select("gene_id").distinct(), "gene_id", "left_semi"
-    )
+    # Null-safe joins with ids that are not null: the others make Spark test each line's ids for null in
+    # a filter of its own, which takes the attribute text apart once more.
+    ids = targets.select(F.col("transcript_id").alias("_id")).where("_id IS NOT NULL")
+    own = rows.join(ids, F.col("transcript_id").eqNullSafe(F.col("_id")), "left_semi")
+    own_genes = own.select(F.col("gene_id").alias("_gene")).distinct()
+    same_gene = F.col("gene_id").eqNullSafe(F.col("_gene")) & F.col("gene_id").isNotNull()
+    genes = rows.where("feature = 'gene'").join(own_genes, same_gene, "left_semi")
     kept = own.select(*ann.columns).unionByName(genes.select(*ann.columns))
-    return kept, targets.join(own.select("transcript_id"), "transcript_id", "left_anti")
+    there = own.select(F.col("transcript_id").alias("_id"))
+    return kept, targets.join(there, F.col("transcript_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 # Sequences -----------------------------------------------------------------------------------

@@ -182,3 +182,21 @@ def test_reports(spark, tmp_path, star):
     imp = spark.createDataFrame([("a", 1.0)], "feature string, m double")
     T.export_bi(imp, land, imp, str(tmp_path / "bi"))
     assert spark.read.option("header", True).csv(str(tmp_path / "bi/probability_landscape")).count() == 2
+
+
+def test_annotation_lines_are_taken_apart_once_a_scan(spark, tmp_path):
+    """Three scans (lines, genes of the lines, gene lines) parse a line once each; one more parse is that
+    of gene lines alone. Null ids match nothing."""
+    lines = [
+        'c\ts\tgene\t1\t9\t.\t+\t.\tgene_id "g1"; tag "a"; tag "b";', 'c\ts\tgene\t1\t9\t.\t+\t.\ttag "x";',
+        'c\ts\texon\t1\t5\t.\t+\t.\tgene_id "g1"; transcript_id "t1";', 'c\ts\texon\t2\t5\t.\t+\t.\ttag "x";',
+        'c\ts\texon\t3\t5\t.\t+\t.\ttranscript_id "t1";', 'c\ts\texon\t4\t5\t.\t+\t.\tgene_id "g2"; transcript_id "t2";',
+    ]
+    (tmp_path / "a.gtf").write_text("\n".join(lines))
+    want = spark.createDataFrame([("t1",), ("t9",), (None,)], "transcript_id string")
+    kept, missing = R.filter_annotation(R.read_annotation(spark, str(tmp_path / "a.gtf")), want)
+    assert sorted((r.feature, r.start) for r in kept.collect()) == [("exon", 1), ("exon", 3), ("gene", 1)]
+    assert [r.attrs for r in kept.collect() if r.feature == "gene"] == [{"gene_id": "g1", "tag": "a,b"}]
+    assert {r.transcript_id for r in missing.collect()} == {"t9", None}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4
