@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,47 @@ def test_bounds_are_looked_up_once(data, monkeypatch):
     assert np.array_equal(got[0], want[0]) and counts.count(False) <= 14 < len(counts)
     monkeypatch.setattr(X, "HELD", 2)
     assert np.array_equal(X.attribute_rows(x, leaves)[0], want[0])
+
+
+def test_whole_trees_are_looked_up_by_pattern(spark, data, monkeypatch):
+    """Few and many features on a path: the values are those of `attribute_rows`, which is not asked
+    for paths of few features, and rows of several batches meet the leaves at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 14)).round(2)
+
+    def grown(depth):
+        leaves, todo = [], [({}, 0)]
+        while todo:
+            path, at = todo.pop()
+            if at == depth or (at and rng.random() < 0.1):
+                names = list(path)
+                lo, hi, share = ([float(path[f][i]) for f in names] for i in range(3))
+                leaves.append((float(rng.integers(0, 4) / 3), names, lo, hi, share))
+                continue
+            f, cut, z = int(rng.integers(14)), round(float(rng.random()), 2), float(rng.random())
+            lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+            todo += [({**path, f: (lo, min(hi, cut), share * z)}, at + 1), ({**path, f: (max(lo, cut), hi, share * (1 - z))}, at + 1)]
+        return leaves
+
+    leaves = grown(4) + grown(9) + grown(1)
+    # A chain of 14 features: its leaves have up to 14 on their path.
+    for k in range(14):
+        path = [(f, 0.05, np.inf, 0.9) for f in range(k)] + [(k, -np.inf, 0.05, 0.1)]
+        leaves.append((float(k % 2), *map(list, zip(*path))))
+    leaves.append((1.0, list(range(14)), [0.05] * 14, [np.inf] * 14, [0.9] * 14))
+    table = pa.table(dict(zip(("value", "features", "low", "high", "share"), map(list, zip(*leaves)))))
+    want = X.attribute_rows(x, leaves)[0]
+    asked = []
+    rows = X.attribute_rows
+    monkeypatch.setattr(X, "attribute_rows", lambda x, some: (asked.append([len(leaf[1]) for leaf in some]), rows(x, some))[1])
+    got = X.attribute_trees(x, X.flat_leaves(table))
+    assert np.allclose(got, want, atol=1e-12)
+    assert all(w > X.ALL_PATTERNS for some in asked for w in some) and sum(map(len, asked)) <= 4
+    x[7, 3] = np.nan  # lies in no leaf
+    assert np.allclose(X.attribute_trees(x, X.flat_leaves(table)), rows(x, leaves)[0], atol=1e-12)
+    assert X.attribute_trees(x[:0], X.flat_leaves(table)).shape == (0, 14)
+    assert not X.attribute_trees(x, X.flat_leaves(table.slice(0, 0))).any()
+    parts = [pd.Series(range(i)) for i in (3, 4, 2)]
+    assert [len(p) for p in X._many(iter(parts), 6)] == [7, 2]
