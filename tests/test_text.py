@@ -251,3 +251,14 @@ def test_all_vectors_meet_in_large_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "_top_k_blocks", lambda *a: (seen.append(a[3:]), blocks(*a))[1])
     assert not text.topk_all_vectors(spark, "/root/testdata/sf0.001").isEmpty()
     assert min(seen[0]) >= 8192
+
+
+def test_common_items_come_as_an_array(spark, monkeypatch):
+    """The driver gets no row object for each item; the rarest common item comes first."""
+    sets = spark.createDataFrame([(i, [1, 2] if i < 9 else [1, i]) for i in range(12)], "id long, items array<long>")
+    frame = type(sets)
+    monkeypatch.setattr(frame, "collect", lambda self: pytest.fail("collected as rows"))
+    assert M.common_items(sets, share=1).tolist() == [2, 1]
+    assert M.common_items(sets, most=1, share=1).tolist() == [1]
+    none = M.common_items(sets.limit(0), share=1)
+    assert none.tolist() == [] and none.dtype == "int64"
