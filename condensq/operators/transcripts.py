@@ -112,7 +112,8 @@ def event_matches(exons: DataFrame, events: DataFrame, width: int = 1000) -> Dat
     cut = shrink(regions, F.when(retained, F.lit(INTRON_SLACK)).otherwise(F.lit(0)))
     included = F.when(retained, contained()).otherwise(overlap_length() >= MIN_OVERLAP)
     hits = binned_join(ex, cut, ["gene_id", "contig"], included, width, longest=width)
-    return hits.select("gene_id", "event_id", "transcript_id", *about).distinct()
+    # Dealt by transcript, as the join with transcript data is next: equal rows meet there too.
+    return hits.select("gene_id", "event_id", "transcript_id", *about).repartition("transcript_id").distinct()
 
 
 def first_matching_event(matches: DataFrame, meta: DataFrame) -> DataFrame:

@@ -154,3 +154,24 @@ def test_lines_of_a_transcript_meet_before_they_are_sorted(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate") < plan.index("Exchange hash")
     assert sum(r.n_exons for r in out.collect()) == 40
+
+
+def test_matches_are_dealt_by_transcript(spark, splice, rows):
+    """Matches meet the transcripts without another shuffle; repeated rows and rows without a
+    transcript stay one each."""
+    exons, events, meta = splice
+    none = exons.where("transcript_id = 't1'").selectExpr(
+        "gene_id", "CAST(NULL AS string) AS transcript_id", "contig", "start", "end")
+    many = exons.unionByName(exons).unionByName(none).unionByName(none)
+    hits = T.event_matches(many, events.unionByName(events))
+    assert sorted(map(str, hits.select("event_id", "transcript_id").collect())) == sorted(
+        f"Row(event_id='{e}', transcript_id={t!r})"
+        for e, t in [("e2", "t2"), ("e3", "t1"), ("e3", "t2"), ("e3", None), ("e4", "t3")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        hits = T.event_matches(exons, events)
+        assert shuffles(hits.join(meta.drop("gene_id"), "transcript_id")) == shuffles(hits) + 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
