@@ -287,6 +287,33 @@ def test_counts_and_verdicts(docs, empty, corpus_rows):
     assert perplexity.quality(empty).count() == 0
 
 
+def test_characters_of_a_class_are_told_apart(spark):
+    """Case, digits and letters of any script decide, and the characters of a class share its probability."""
+    twins = [("year 2007", "year 2079"), ("the end", "tHe eNd"), ("\u4e2d\u6587 \u4e2d\u6587", "\u4e4d\u65a7 \u4ead\u6587"), ("a, b", "a; b")]
+    for a, b in twins:
+        assert (perplexity.grams(a) == perplexity.grams(b)).all()
+        assert len(perplexity.pairs(a)) == len(a) and (perplexity.pairs(a) != perplexity.pairs(b)).any()
+    words = "The year 2007 saw the end, 2007 and \u4e2d\u6587 \u4e2d\u6587. "
+    rows = [(i, words * (2 + i % 3), "en") for i in range(30)]
+    rows += [(90, "tHe yEar 7392 sAw thE eNd; 8165 aNd \u4e4d\u65a7 \u4ead\u6587! " * 3, "en")]
+    out = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[90]["log_perplexity"] > 1.5 * max(out[i]["log_perplexity"] for i in range(30))
+    # Against the definition: sums to one over the characters of a class, whatever goes before.
+    found = np.concatenate([perplexity.pairs(r[1]) for r in rows])
+    keys, n = np.unique(found, return_counts=True)
+    arrays = perplexity.emissions(keys, n)
+    model = perplexity.Emissions(arrays)
+    codes = arrays[4]
+    for before in (ord("2"), ord("e"), 0x4E2D, 0x1F600):
+        p = np.exp(model(np.int64(before) << 21 | codes))
+        sums = np.bincount(perplexity.classes(codes), p, 64)
+        assert np.allclose(sums[np.unique(perplexity.classes(codes))], 1)
+    rare = perplexity.Emissions(arrays)
+    rare.rank[:], rare.table[:] = perplexity.COMMON, np.nan  # without the table
+    assert np.allclose(rare(found), model(found)) and (model(found) <= 0).all()
+    assert model(np.array([ord("a") << 21 | 0x10FFFF]))[0] < model(keys).min()
+
+
 def test_gibberish_is_outside_the_band(spark):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("aeiou")) + rng.choice(list("bcdlmnrst")) for _ in range(3)) for _ in range(200)]
